@@ -15,5 +15,17 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import piece_digests
+
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op8_sentencepiece)}
 ORACLE: dict[str, str] = {}
