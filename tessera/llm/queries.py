@@ -45,5 +45,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op4_language_id, op8_sentencepiece, op9_toxicity, op10_packing)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).drop("lang")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op4_language_id, op7_quality_rules, op8_sentencepiece, op9_toxicity, op10_packing)}
 ORACLE: dict[str, str] = {}
