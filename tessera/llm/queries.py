@@ -51,5 +51,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op4_language_id, op7_quality_rules, op8_sentencepiece, op9_toxicity, op10_packing)}
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op4_language_id, op6_html_extraction, op7_quality_rules, op8_sentencepiece, op9_toxicity, op10_packing)}
 ORACLE: dict[str, str] = {}
