@@ -57,5 +57,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op4_language_id, op6_html_extraction, op7_quality_rules, op8_sentencepiece, op9_toxicity, op10_packing)}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_substring_dedup, op4_language_id, op6_html_extraction, op7_quality_rules, op8_sentencepiece, op9_toxicity, op10_packing)}
 ORACLE: dict[str, str] = {}
