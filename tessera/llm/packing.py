@@ -17,6 +17,8 @@ from .tokens import texts_of, word_ids
 ROOM, END = 1024, 0
 #: The linear program ends within this part of its lower bound, or after so many columns; any solution can be rounded.
 GAP, COLUMNS = 0.005, 4000
+#: Columns that the knapsack prices at most, once the first ones help no more.
+PRICED = 150
 #: Pieces of a scaled histogram from which the first columns are made.
 SCALED = 20_000
 
@@ -56,6 +58,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, room: int = ROOM) -> list[tup
     pool = np.zeros((len(first), m), np.float32)
     for k, own in enumerate(first):
         np.add.at(pool[k], np.searchsorted(lengths, own), 1)
+    priced = 0
     for turn in range(COLUMNS):
         if use.sum() <= least * (1 + GAP):
             break
@@ -65,8 +68,9 @@ def solve(lengths: np.ndarray, demand: np.ndarray, room: int = ROOM) -> list[tup
         if known[k] > 1 + 1e-4:
             pattern = pool[k].astype(float)
         else:
+            priced += 1
             worth, pattern = price(dual, lengths, room)
-            if worth <= 1 + 1e-9 or use.sum() <= float(dual @ demand) / worth * (1 + GAP):
+            if priced > PRICED or worth <= 1 + 1e-9 or use.sum() <= float(dual @ demand) / worth * (1 + GAP):
                 break
         step = inverse @ pattern
         able = np.flatnonzero(step > 1e-9)
