@@ -1,4 +1,5 @@
 import itertools
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Row
@@ -13,7 +14,7 @@ PERSON = T.StructType([T.StructField("name", T.StringType()), T.StructField("id"
 
 @pytest.fixture(scope="module")
 def people(spark):
-    rows = [("Roman", 6, None, [Row("1", None), Row("2", "WORK"), Row("3", "MOBILE")], 2**63 + 5, True, Row([1, 2], None)), ("Anna", 9, "a@b", [], 1, False, None), (None, None, None, None, None, None, Row(None, "x"))]
+    rows = [("Roman", 6, None, [Row("1", None), Row("2", "WORK"), Row("3", "MOBILE")], Decimal(2**63 + 5), True, Row([1, 2], None)), ("Anna", 9, "a@b", [], Decimal(1), False, None), (None, None, None, None, None, None, Row(None, "x"))]
     return spark.createDataFrame(rows, PERSON)
 
 
@@ -21,7 +22,7 @@ def people(spark):
     ("id < 7", ["Roman", None]), ("id > 5", ["Roman", "Anna"]), ("not id > 6", ["Roman", None]), ("id != 5", ["Roman", "Anna", None]), ("(id=6) or name='Anna'", ["Roman", "Anna"]),
     ("phone.number = '3'", ["Roman"]), ("phone.number = '4'", []), ("phone.number != '3'", ["Anna", None]), ("phone.type = 1", ["Roman"]), ("phone.type = 'WORK'", ["Roman"]),
     ("def(account.street)", [None]), ("def(phone)", ["Roman"]), ("not def(phone.type)", ["Anna", None]), ("def(phone.number) or id = 9", ["Roman", "Anna"]), ("ok = true", ["Roman"]), ("ok = 0", ["Anna", None]),
-    ("big > 9223372036854775807", ["Roman"]), ("account.ids = 2", ["Roman"]), ("account.ids < id", ["Roman"]), ("name = ''", [None]), ("not name = 'Anna' and id = 6", ["Roman", "Anna", None][:1] + ["Anna", None][:0] + ["Anna", None]), ("", ["Roman", "Anna", None]),
+    ("big > 9223372036854775807", ["Roman"]), ("account.ids = 2", ["Roman"]), ("account.ids < id", ["Roman"]), ("name = ''", [None]), ("not name = 'Anna' and id = 6", ["Roman", "Anna", None]), ("", ["Roman", "Anna", None]),
 ])
 def test_rows(people, text, names):
     assert sorted(map(str, [r.name for r in where(people, text).collect()])) == sorted(map(str, names))
