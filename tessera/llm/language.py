@@ -7,10 +7,11 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, learning_rows
+from .common import cut, held_out, learning_rows, slices
 
 #: Characters in the longest sequence; bits of a hash, so that a model has 2 ** BITS entries for each order and language at most.
 ORDER, BITS = 4, 17
@@ -18,8 +19,10 @@ ORDER, BITS = 4, 17
 DISCOUNT = 0.75
 #: A text is rejected if its cross-entropy lies so many deviations over the mean of learned texts of its language.
 DEVIATIONS = 8.0
-#: Words that a worker remembers; longer ones aren't remembered.
-REMEMBERED, LONG = 300_000, 64
+#: Words that a worker remembers before it starts anew.
+REMEMBERED = 150_000
+#: Words that are counted at a time, and characters that are scored at a time.
+HELD, AT_A_TIME = 150_000, 2_000_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
@@ -39,16 +42,23 @@ def pieces_of(word: str) -> list[str]:
 
 
 def _words(batches):
-    """Number of each word in some rows, by language."""
+    """Number of each word by language, given out whenever HELD of them are held."""
+    seen: dict[tuple[str, str], int] = {}
+
+    def out():
+        rows = pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+        seen.clear()
+        return rows
+
     for batch in batches:
-        seen: dict[str, dict[str, int]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = seen.setdefault(lang, {})
-            for w in text.split():
-                own[w] = own.get(w, 0) + 1
-        rows = [(lang, w, n) for lang, own in seen.items() for w, n in own.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            lang = lang.as_py()
+            for w in text.as_py().split():
+                seen[lang, w] = seen.get((lang, w), 0) + 1
+            if len(seen) > HELD:
+                yield out()
+    if seen:
+        yield out()
 
 
 def _grams(batches):
@@ -226,9 +236,15 @@ def predict(docs: DataFrame, models: Models, *columns: str) -> DataFrame:
     at = len(names)
     scorer = Scorer(models)
 
+    def parts(batches):
+        for b in batches:
+            sizes = [x or 0 for x in pc.binary_length(b.column(at)).to_pylist()]
+            for lo, hi in slices(sizes, AT_A_TIME):
+                yield b.slice(lo, hi - lo)
+
     def predicted(batches):
         langs = [*models.langs, UNKNOWN]
-        for b in batches:
+        for b in parts(batches):
             found = scorer(b.column(at).to_pylist())
             best, cross, score, n = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([langs[k] for k in best], pa.string()), pa.array(cross, pa.float64()), pa.array(score, pa.float64()), pa.array(n, pa.float64())], [*names, "__lang_pred", "__cross", "__score", "__letters"])
