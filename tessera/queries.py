@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import codec, geo
+from .functions import codec, geo, shapes
 from .functions import numbers as N
 from .functions import strings as S
 from .operators import stats, tables
@@ -597,6 +597,40 @@ def geo_spatial_join(spark, d):
     return geo.points_in_caps(points, caps)
 
 
+@query(f"""with p as (select c_nationkey, c_custkey, radians({C_LAT}) as a, radians({C_LNG}) as b from customer),
+s as (select c_nationkey, a, b, lead(a) over w as a2, lead(b) over w as b2 from p window w as (partition by c_nationkey order by c_custkey))
+select c_nationkey, round(sum(case when a2 is null then 0 else 2 * asin(sqrt(least(1, power(sin((a2 - a) / 2), 2) + power(sin((b2 - b) / 2), 2) * cos(a) * cos(a2)))) end), 5) as length from s group by 1""")
+def geo_polyline(spark, d):
+    c = coordinates(read(spark, d, "customer"), "c_custkey").select("c_nationkey", F.struct("c_custkey", geo.point(F.col("lat"), F.col("lng")).alias("p")).alias("v"))
+    lines = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    return lines.select("c_nationkey", F.round(shapes.length(F.transform("v", lambda x: x["p"])), 5).alias("length"))
+
+
+def _square(lat: Column, lng: Column, half: float) -> Column:
+    return F.array(*[geo.point(lat + a * half, lng + b * half) for a, b in ((-1, -1), (-1, 1), (1, 1), (1, -1))])
+
+
+@query()
+def geo_loop(spark, d):
+    s = coordinates(read(spark, d, "supplier"), "s_suppkey").where("abs(lat) < 70")
+    return s.select("s_suppkey", F.round(shapes.area(_square(F.col("lat"), F.col("lng"), 5.0)), 9).alias("area"))
+
+
+@query()
+def geo_polygon(spark, d):
+    """Squares with a square hole: points at the centre are outside, those in the frame inside."""
+    s = coordinates(read(spark, d, "supplier"), "s_suppkey").where("abs(lat) < 70")
+    frame = F.array(_square(F.col("lat"), F.col("lng"), 5.0), _square(F.col("lat"), F.col("lng"), 2.0))
+    return s.select("s_suppkey", F.round(shapes.polygon_area(frame), 9).alias("area"), shapes.polygon_contains(frame, geo.point(F.col("lat"), F.col("lng"))).alias("centre"), shapes.polygon_contains(frame, geo.point(F.col("lat") + 3.5, F.col("lng"))).alias("frame"))
+
+
+@query()
+def geo_cellunion_setops(spark, d):
+    c = coordinates(read(spark, d, "customer"), "c_custkey").withColumn("cell", geo.parent(geo.cell_id("lat", "lng"), 3))
+    a = c.groupBy("c_nationkey").agg(F.collect_set(F.when(F.col("c_custkey") % 2 == 0, F.col("cell"))).alias("a"), F.collect_set(F.when(F.col("c_custkey") % 3 == 0, F.col("cell"))).alias("b"))
+    return a.select("c_nationkey", shapes.cells_union("a", "b").alias("either"), shapes.cells_intersection("a", "b").alias("both"), shapes.cells_difference("a", "b").alias("only"))
+
+
 # Tables of the star schema, through the same operators
 
 @query("""select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n

@@ -44,3 +44,21 @@ def test_expressions(spark):
     row = df.select(F.bool_and(geo.level(F.col("id")) == 30).alias("a"), F.bool_and(geo.level(F.col("p")) == 7).alias("b"), F.bool_and(geo.contains(F.col("p"), F.col("id"))).alias("c"), F.bool_and(geo.from_token(geo.token(F.col("p"))) == F.col("p")).alias("d"),
                     F.bool_and(geo.parent(geo.child(F.col("p"), 2), 7) == F.col("p")).alias("e"), F.bool_and(geo.face(F.col("id")).between(0, 5)).alias("f")).first()
     assert all(row)
+
+
+def test_loops_and_cell_sets():
+    from tessera.functions import shapes
+
+    octant = np.eye(3)
+    assert abs(shapes.loop_area(octant) - np.pi / 2) < 1e-12
+    mid = np.ones(3) / 3**0.5
+    assert shapes.loop_contains(octant, mid) and not shapes.loop_contains(octant, -mid) and not shapes.loop_contains(octant, np.array([0.0, -0.6, 0.8]))
+    inside = [(p > 0).all() for p in points(500, 7)]
+    assert [shapes.loop_contains(octant, p) for p in points(500, 7)] == inside
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        a, b = ([int(c) for c in (geo.ids_of_points(*points(12, int(r.integers(1e6))).T) & -(1 << 56)) | (1 << 56)] for _ in range(2))
+        both, either, only = (shapes.combine(a, b, f) for f in (lambda x, y: x and y, lambda x, y: x or y, lambda x, y: x and not y))
+        count = lambda cells: sum((c & shapes.ALL) & -(c & shapes.ALL) for c in cells)
+        assert count(either) == count(geo.normalize(a)) + count(geo.normalize(b)) - count(both) == count(only) + count(geo.normalize(b))
+        assert geo.normalize(only + both) == geo.normalize(a) and geo.normalize(a + b) == either
