@@ -164,6 +164,49 @@ def cell_id(lat: pa.Array, lng: pa.Array) -> pa.Array:
     return pa.array(ids_of_points(np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)), mask=bad)
 
 
+def face_ij(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Face, lower i and j, and side in leaves of cells."""
+    c = cells.view(np.uint64)
+    low = c & (~c + np.uint64(1))
+    own, turn = (c >> np.uint64(61)).astype(np.int64), ((c >> np.uint64(61)) & np.uint64(1)).astype(np.int64)
+    i, j, size = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.full(len(c), 1 << LEVELS, np.int64)
+    for k in range(LEVELS):
+        bit = np.uint64(2 * (LEVELS - 1 - k) + 1)
+        alive = (np.uint64(1) << bit) > low
+        pos = ((c >> bit) & np.uint64(3)).astype(np.int64)
+        ij, half = ORDER[turn, pos], size >> 1
+        i, j = np.where(alive, i + (ij >> 1) * half, i), np.where(alive, j + (ij & 1) * half, j)
+        turn, size = np.where(alive, turn ^ TURN[pos], turn), np.where(alive, half, size)
+    return own, i, j, size
+
+
+def edge_neighbours(cells: np.ndarray) -> np.ndarray:
+    """The four cells of the same level that share an edge with each: below, right, above, left in its face's directions."""
+    own, i, j, size = face_ij(cells)
+    bit = cells & -cells
+    uv = lambda t: np.where(t >= 0.5, (4 * t * t - 1) / 3, (1 - 4 * (1 - t) ** 2) / 3)
+    out = []
+    for di, dj in ((0, -1), (1, 0), (0, 1), (-1, 0)):
+        a = i + size // 2 if not di else np.where(di > 0, i + size, i - 1)
+        b = j + size // 2 if not dj else np.where(dj > 0, j + size, j - 1)
+        top = (1 << LEVELS) - 1
+        inside = ids_of_ij(own, np.clip(a, 0, top), np.clip(b, 0, top))
+        u, v = uv((a + 0.5) / (1 << LEVELS)), uv((b + 0.5) / (1 << LEVELS))
+        one = np.ones(len(u))
+        table = [(one, u, v), (-u, one, v), (-u, -v, one), (-one, -v, -u), (v, -one, -u), (v, u, -one)]
+        over = ids_of_points(*[np.select([own == f for f in range(6)], [t[x] for t in table]) for x in range(3)])
+        leaf = np.where((a < 0) | (a > top) | (b < 0) | (b > top), over, inside)
+        out.append((leaf & -bit) | bit)
+    return np.stack(out, 1)
+
+
+@arrow_udf(ArrayType(LongType()))
+def neighbours(cell: pa.Array) -> pa.Array:
+    good = np.array([x is not None for x in cell.to_pylist()], bool)
+    found = iter(edge_neighbours(np.array([x for x in cell.to_pylist() if x is not None], np.int64)).tolist())
+    return pa.array([next(found) if ok else None for ok in good], pa.list_(pa.int64()))
+
+
 def _sorted(ids) -> list[int]:
     return sorted(set(ids), key=lambda c: c & (1 << 64) - 1)
 

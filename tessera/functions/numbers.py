@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 
 def safe_int(c: Column) -> Column:
@@ -143,3 +147,22 @@ def det3(m: Column) -> Column:
     """Determinant of nine numbers, row by row."""
     e = [m[i] for i in range(9)]
     return e[0] * (e[4] * e[8] - e[5] * e[7]) - e[1] * (e[3] * e[8] - e[5] * e[6]) + e[2] * (e[3] * e[7] - e[4] * e[6])
+
+
+@arrow_udf(ArrayType(DoubleType()))
+def inverse3(m: pa.Array) -> pa.Array:
+    """Inverse of nine numbers, row by row; null if there is none."""
+    out = []
+    for x in m.to_pylist():
+        a = None if x is None or len(x) != 9 else np.array(x, float).reshape(3, 3)
+        out.append(None if a is None or abs(np.linalg.det(a)) < 1e-300 else np.linalg.inv(a).ravel().tolist())
+    return pa.array(out, pa.list_(pa.float64()))
+
+
+@arrow_udf(BinaryType())
+def double_key(column: pa.Array) -> pa.Array:
+    """Eight bytes whose order is that of the doubles: the sign bit is turned, negative numbers turn wholly."""
+    known = ~np.array(column.is_null().to_pylist(), bool)
+    bits = np.nan_to_num(column.to_numpy(zero_copy_only=False).astype(float), nan=np.nan).view(np.uint64)
+    keys = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63)).astype(">u8").tobytes()
+    return pa.array([keys[8 * k : 8 * k + 8] if ok else None for k, ok in enumerate(known)], pa.binary())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64 as b64
+import quopri
 import re
 
 import pyarrow as pa
@@ -215,6 +216,21 @@ def base32(column: pa.Array) -> pa.Array:
     return pa.array([None if x is None else b64.b32encode(x if isinstance(x, bytes) else x.encode()).decode() for x in column.to_pylist()], pa.string())
 
 
+@arrow_udf(StringType())
+def base32hex(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else b64.b32hexencode(x if isinstance(x, bytes) else x.encode()).decode() for x in column.to_pylist()], pa.string())
+
+
+@arrow_udf(StringType())
+def quoted_printable(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else quopri.encodestring(x if isinstance(x, bytes) else x.encode()).decode() for x in column.to_pylist()], pa.string())
+
+
+@arrow_udf(BinaryType())
+def unquoted_printable(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else quopri.decodestring(x.encode()) for x in column.to_pylist()], pa.binary())
+
+
 @arrow_udf(ArrayType(StringType()))
 def split_structured(column: pa.Array) -> pa.Array:
     """Comma-separated parts; commas inside brackets don't separate."""

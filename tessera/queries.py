@@ -414,6 +414,27 @@ def ordered_keys(spark, d):
     return read(spark, d, "orders").select("o_orderkey", F.hex(tables.ordered_key(F.col("o_orderkey") - 5000)).alias("key"))
 
 
+@query("select c_custkey, c_acctbal from customer order by c_acctbal, c_custkey limit 60")
+def double_keys(spark, d):
+    return read(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy(N.double_key("c_acctbal"), "c_custkey").limit(60)
+
+
+@query("select p_partkey, p_name as plain from part")
+def quoted_printable(spark, d):
+    return read(spark, d, "part").select("p_partkey", S.unquoted_printable(S.quoted_printable("p_name")).cast("string").alias("plain"))
+
+
+@query()
+def base32_forms(spark, d):
+    return read(spark, d, "part").select("p_partkey", S.base32("p_name").alias("standard"), S.base32hex("p_name").alias("extended"))
+
+
+@query("select s_suppkey, 'f(' || s_suppkey || ',1)' as first_part, 3 as n from supplier")
+def split_structured(spark, d):
+    a = S.split_structured(F.concat(F.lit("f("), F.col("s_suppkey").cast("string"), F.lit(",1),[a,b],{c}")))
+    return read(spark, d, "supplier").select("s_suppkey", a[0].alias("first_part"), F.size(a).alias("n"))
+
+
 # Numbers
 
 @query("select c_custkey, cast(regexp_extract(c_name, '([0-9]+)$', 1) as bigint) as n, cast(null as bigint) as bad, -1::bigint as dflt from customer")
@@ -483,6 +504,15 @@ def matrix_ops(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(N.det3(m), 9).alias("det"), F.round(m[0] + m[4] + m[8], 9).alias("trace"))
 
 
+@query("""with m as (select vec_id, list_transform(embedding[1:9], lambda x: cast(x as double)) as e from embeddings),
+k as (select vec_id, e, e[1] * (e[5] * e[9] - e[6] * e[8]) - e[2] * (e[4] * e[9] - e[6] * e[7]) + e[3] * (e[4] * e[8] - e[5] * e[7]) as det from m)
+select vec_id, round((e[5] * e[9] - e[6] * e[8]) / det, 4) as first, round((e[1] * e[5] - e[2] * e[4]) / det, 4) as last from k where abs(det) > 0.0001""")
+def matrix_inverse(spark, d):
+    m = read(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 9), lambda x: x.cast("double")).alias("m")).where(F.abs(N.det3(F.col("m"))) > 0.0001)
+    i = m.withColumn("i", N.inverse3("m"))
+    return i.select("vec_id", F.round(F.col("i")[0], 4).alias("first"), F.round(F.col("i")[8], 4).alias("last"))
+
+
 @query("select o_orderkey, cast(bit_count(o_orderkey) as integer) as ones, cast(length(bin(o_orderkey)) - 1 as integer) as top, o_orderkey & -o_orderkey as low, case when o_orderkey % 2 = 0 then -o_orderkey else o_orderkey end as plain from orders where o_orderkey > 0")
 def bit_ops(spark, d):
     k = F.col("o_orderkey")
@@ -631,6 +661,14 @@ def geo_cellunion_setops(spark, d):
     return a.select("c_nationkey", shapes.cells_union("a", "b").alias("either"), shapes.cells_intersection("a", "b").alias("both"), shapes.cells_difference("a", "b").alias("only"))
 
 
+@query("select c_custkey, true as mutual, 4 as n from customer")
+def geo_neighbors(spark, d):
+    """Every neighbour has the cell among its own neighbours."""
+    c = coordinates(read(spark, d, "customer"), "c_custkey").select("c_custkey", geo.parent(geo.cell_id("lat", "lng"), 9).alias("cell"))
+    each = c.select("c_custkey", "cell", F.explode(geo.neighbours("cell")).alias("other")).withColumn("back", F.array_contains(geo.neighbours("other"), F.col("cell")))
+    return each.groupBy("c_custkey").agg(F.bool_and("back").alias("mutual"), F.countDistinct("other").cast("int").alias("n"))
+
+
 # Tables of the star schema, through the same operators
 
 @query("""select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n
