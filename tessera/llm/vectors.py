@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -210,8 +210,6 @@ def top_k(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(compared, FOUND)
-    # best of each task's rows first, so that what is ranked grows with the queries
-    key = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))
-    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(key)), 1, top).alias("best"))
-    each = ranked.select("query_id", F.posexplode("best").alias("at", "b"))
-    return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.v").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    # Spark keeps the best of each task before it shuffles, since only low ranks are asked for
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
