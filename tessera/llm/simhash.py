@@ -217,8 +217,9 @@ def fingerprint_links(prints: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     return dealt.groupBy("unit").applyInPandas(lambda pdf: join_unit(pdf, budget), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, fp (fingerprint as a signed long), component_id.
+def near_duplicates(docs: DataFrame, budget: int = MAX_BITS, *more: str) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, fp (fingerprint as a signed long), component_id; and `root` if it is named, a fingerprint
+    that stands for the component, also where no row of it has an id.
 
     component_id: the smallest doc_id that links reach, over any number of steps, itself included.
     Null or wordless text: fingerprint 0, linked like any other. Null doc_id: the row takes part, and has the smallest non-null id of its
@@ -230,15 +231,15 @@ def near_duplicates(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     placed = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     placed = cut(placed)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(placed.join(ids, "root").select("fp", "component_id"))
-    return own.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    of = cut(placed.join(ids, "root").select("fp", "component_id", *more))
+    return own.join(of, "fp", "left").select("doc_id", "fp", "component_id", *more)
 
 
 def keep_one(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     """docs without near-copies: of each component the row of the smallest doc_id stays, once if it is repeated; columns as before."""
-    found = cut(near_duplicates(docs, budget))
+    found = cut(near_duplicates(docs, budget, "root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("fp").alias("f")))
-    kept = cut(found.groupBy("component_id").agg(first.alias("k")).select(F.col("k.d").alias("k_id"), F.col("k.f").alias("k_fp")))
+    kept = cut(found.groupBy("root").agg(first.alias("k")).select(F.col("k.d").alias("k_id"), F.col("k.f").alias("k_fp")))
     plain = found.sparkSession.createDataFrame([], docs.schema).columns
     marked = docs.withColumn("__fp", simhash(F.col("text")))
     rows = marked.join(kept, marked["doc_id"].eqNullSafe(kept["k_id"]) & (marked["__fp"] == kept["k_fp"]), "left_semi")

@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
+from tessera.llm import shingles, simhash
 
 
 def words_of(r, n):
@@ -52,3 +55,14 @@ def test_chains_and_groups(spark):
     assert jaccard(rows[0][1], rows[6][1]) < 0.8 <= min(jaccard(rows[k][1], rows[k + 1][1]) for k in range(6))
     got = {x.doc_id for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert got == {0, 100, *range(200, 220)}
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, shingles.keep_one])
+def test_rows_without_an_id(spark, keep_one):
+    """One row stays of each component, whether it has an id or not."""
+    r = random.Random(13)
+    own = [" ".join(words_of(r, 60)) for _ in range(8)]
+    rows = [(None, t) for t in own] + [(None, own[0]), (None, own[1]), (5, own[1]), (3, own[2]), (3, own[2]), (9, " ".join(words_of(r, 60)))]
+    got = [tuple(x) for x in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(t for _, t in got) == sorted([*own, rows[-1][1]])
+    assert {k: t for k, t in got if k is not None} == {5: own[1], 3: own[2], 9: rows[-1][1]}
