@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, held_out, learning_rows, slices
 
-#: Characters in the longest sequence; bits of a hash, so that a model has 2 ** BITS entries for each order and language at most.
-ORDER, BITS = 4, 17
+#: Characters in the longest sequence.
+ORDER = 4
 #: Part of a count that goes to shorter sequences.
 DISCOUNT = 0.75
 #: A text is rejected if its cross-entropy lies so many deviations over the mean of learned texts of its language.
@@ -29,12 +29,17 @@ _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
 def hashes(points: np.ndarray, n: int) -> np.ndarray:
-    """BITS-bit hash of each run of n code points."""
-    h = np.full(len(points) - n + 1, n, np.uint64)
-    for k in range(n):
-        h = (h ^ points[k : len(points) - n + 1 + k]) * _SALT[0]
+    """Key of each run of n code points: all 64 bits of its hash, as a signed long."""
+    size = max(len(points) - n + 1, 0)
+    return mixed([points[k : size + k] for k in range(n)], size)
+
+
+def mixed(columns: list[np.ndarray], size: int) -> np.ndarray:
+    h = np.full(size, len(columns), np.uint64)
+    for c in columns:
+        h = (h ^ c) * _SALT[0]
         h ^= h >> np.uint64(29)
-    return (h * _SALT[1]) >> np.uint64(64 - BITS)
+    return (h * _SALT[1]).view(np.int64)
 
 
 def pieces_of(word: str) -> list[str]:
@@ -80,11 +85,7 @@ def _hash_column(order: int):
         if not len(gram):
             return pd.Series([], dtype="int64")
         points = np.frombuffer("".join(gram).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, order)
-        h = np.full(len(gram), order, np.uint64)
-        for k in range(order):
-            h = (h ^ points[:, k]) * _SALT[0]
-            h ^= h >> np.uint64(29)
-        return pd.Series(((h * _SALT[1]) >> np.uint64(64 - BITS)).astype(np.int64))
+        return pd.Series(mixed([points[:, k] for k in range(order)], len(points)))
 
     return F.pandas_udf(hashed, "long")
 
@@ -116,7 +117,7 @@ class Models:
             np.add.at(types, (where, head["lang"].to_numpy(np.int64)), head["types"].to_numpy(float))
             weight = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
             self.contexts[order] = ctx, weight
-            # a representative of each hash gives its context and its suffix
+            # the rows of a key are one sequence in several languages: any of them gives its context and its suffix
             first = found.drop_duplicates("key").sort_values("key")
             c = np.searchsorted(ctx, first["head"].to_numpy(np.int64))
             below = np.full((len(keys), n), 1.0 / size) if lower is None else lower(first["tail"].to_numpy(np.int64))
@@ -156,7 +157,7 @@ class Models:
         p = np.repeat(self.floor[None], len(last), 0)
         open_, scale = np.arange(len(last)), np.ones((len(last), n))
         for order in range(ORDER, 0, -1):
-            h = hashes(points, order)[last[open_] - order + 1].astype(np.int64)
+            h = hashes(points, order)[last[open_] - order + 1]
             keys, own_p = self.grams[order]
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
             hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
@@ -166,7 +167,7 @@ class Models:
                 break
             ctx, weight = self.contexts[order]
             if order > 1 and len(ctx):
-                c = hashes(points, order - 1)[last[open_] - order + 1].astype(np.int64)
+                c = hashes(points, order - 1)[last[open_] - order + 1]
                 at = np.minimum(np.searchsorted(ctx, c), len(ctx) - 1)
                 hit = ctx[at] == c
                 scale[open_[hit]] *= weight[at[hit]]
@@ -179,8 +180,8 @@ class Models:
 
 
 def fit(docs: DataFrame) -> Models:
-    """Models of every language, from all rows of docs(text, lang) that have both. Counts are made by Spark; what comes to the driver is
-    bounded by 2 ** BITS entries for each order and language."""
+    """Models of every language, from all rows of docs(text, lang) that have both. Counts are made by Spark; what comes to the driver and is
+    broadcast has one entry for each distinct sequence of a language, so it grows with the sequences that the texts have, without a bound."""
     g = cut(gram_counts(docs.where("text is not null and lang is not null")))
     langs = sorted(r.lang for r in g.select("lang").distinct().collect())
     number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int") - 1 if langs else F.lit(0)

@@ -221,6 +221,20 @@ def test_probabilities_sum_to_one(spark):
         assert total <= 1.0 + 1e-6
 
 
+def test_sequences_have_their_own_keys(spark):
+    """Far more sequences than 2 ** 17: none shares a key with another, and the model has an entry for each."""
+    r = random.Random(9)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    rows = [(k, " ".join("".join(r.choice(alphabet) for _ in range(8)) for _ in range(500)), "xx") for k in range(60)]
+    grams = {(" " * 3 + w + " ")[i : i + 4] for _, t, _ in rows for w in t.split() for i in range(len(w) + 1)}
+    assert len(grams) > 1.5 * 2**17
+    points = np.frombuffer("".join(sorted(grams)).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    assert len(np.unique(language.hashes(points, 4)[::4])) == len(grams)
+    m = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for order in range(1, 5):
+        assert len(m.grams[order][0]) == len({g[4 - order :] for g in grams})
+
+
 # 5. Top-k
 
 def test_top_k(spark):
