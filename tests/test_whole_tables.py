@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import numbers as N
 from tessera.queries import QUERIES
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_human_elapsed_of_late_orders(spark, tmp_path):
     keys = [1, 499_999, 500_000, 600_000, 40_000_000]
@@ -25,3 +28,10 @@ def test_squares_of_all_suppliers(spark, tmp_path):
     whole = {r.s_suppkey: r.area for r in loops}
     assert all(0 < r.area < whole[r.s_suppkey] < 0.04 for r in frames)
     assert all(not r.centre and r.frame for r in frames)
+
+
+def test_double_keys_of_all_customers(spark):
+    """The order of the keys is that of the numbers over the whole table, below and above zero."""
+    rows = spark.read.parquet(f"{DATA}/customer.parquet").select("c_acctbal", N.double_key("c_acctbal").alias("k")).collect()
+    assert any(r.c_acctbal < 0 for r in rows) and any(r.c_acctbal > 0 for r in rows)
+    assert [r.c_acctbal for r in sorted(rows, key=lambda r: r.k)] == sorted(r.c_acctbal for r in rows)
