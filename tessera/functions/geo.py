@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 EARTH_KM = 6371.0
 LEVELS = 30
@@ -236,56 +237,310 @@ def cell_union(ids: pa.Array) -> pa.Array:
     return pa.array([None if x is None else normalize([c for c in x if c is not None]) for x in ids.to_pylist()], pa.list_(pa.int64()))
 
 
-def cover_cap(axis: np.ndarray, angle: float, max_cells: int = 8, max_level: int = LEVELS) -> list[int]:
-    """Cells that cover a cap: the largest that reach over its edge are split while there is room."""
-    def reach(cells):
-        """Angle from the centre within which a cell lies."""
-        c = cells.view(np.uint64)
-        depth = np.array([LEVELS - (int(x & -x).bit_length() - 1) // 2 for x in c.astype(object)])
-        return 2.5 / 2.0**depth
-
-    def near(cells):
-        return np.arccos(np.clip(centers(cells) @ axis, -1, 1))
-
-    def touching(ids):
-        cells = np.array(ids, np.int64)
-        return [i for i, ok in zip(ids, near(cells) <= angle + reach(cells)) if ok]
-
-    signed = lambda c: c - (1 << 64) if c >> 63 else c
-    open_, done = touching([signed((2 * f + 1) << 60) for f in range(6)]), []
-    while open_:
-        open_.sort(key=lambda c: -((c & (1 << 64) - 1) & -(c & (1 << 64) - 1)))
-        c = open_.pop(0)
-        u = c & (1 << 64) - 1
-        bit = u & -u
-        inside = float(near(np.array([c]))[0] + reach(np.array([c]))[0]) <= angle
-        if inside or bit <= 1 << 2 * (LEVELS - max_level):
-            done.append(c)
-            continue
-        parts = touching([signed(u + (2 * k - 3) * (bit >> 2)) for k in range(4)])
-        if len(done) + len(open_) + len(parts) > max_cells and len(parts) > 1:
-            done.append(c)
-        else:
-            open_ += parts
-    return normalize(done)
+def corners(cells: np.ndarray) -> np.ndarray:
+    """Unit vectors of the four corners of cells, counter-clockwise from the lower left in the face's directions: (cells, 4, 3)."""
+    own, i, j, size = face_ij(cells)
+    side = lambda t: (lambda w: np.where(w >= 0.5, (4 * w * w - 1) / 3, (1 - 4 * (1 - w) ** 2) / 3))(t / (1 << LEVELS))
+    u0, u1, v0, v1 = side(i), side(i + size), side(j), side(j + size)
+    out = np.stack([face_vectors(own, u, v) for u, v in ((u0, v0), (u1, v0), (u1, v1), (u0, v1))], 1)
+    return out / np.linalg.norm(out, axis=2, keepdims=True)
 
 
-@arrow_udf(ArrayType(LongType()))
-def covering(lat: pa.Array, lng: pa.Array, angle: pa.Array) -> pa.Array:
-    """Covering of a cap about degrees with an angle in radians."""
-    out = []
-    for a, b, r in zip(lat.to_pylist(), lng.to_pylist(), angle.to_pylist()):
-        x, y = np.radians(a), np.radians(b)
-        out.append(cover_cap(np.array([np.cos(x) * np.cos(y), np.cos(x) * np.sin(y), np.sin(x)]), r))
-    return pa.array(out, pa.list_(pa.int64()))
+def face_vectors(own: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Vectors of face coordinates."""
+    one = np.ones(len(u))
+    table = [(one, u, v), (-u, one, v), (-u, -v, one), (-one, -v, -u), (v, -one, -u), (v, u, -one)]
+    return np.stack([np.select([own == f for f in range(6)], [t[k] for t in table]) for k in range(3)], 1)
+
+
+def nearest_angle(cells: np.ndarray, axis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest angle between each axis and its cell: to an edge or a corner, 0 from inside; to a corner."""
+    v = corners(cells)
+    at = np.einsum("ckd,cd->ck", v, axis)
+    far, near = np.arccos(np.clip(at.min(1), -1, 1)), np.arccos(np.clip(at.max(1), -1, 1))
+    inside = np.ones(len(cells), bool)
+    for k in range(4):
+        a, b = v[:, k], v[:, (k + 1) % 4]
+        n = np.cross(a, b)
+        n /= np.linalg.norm(n, axis=1, keepdims=True)
+        high = np.einsum("cd,cd->c", n, axis)
+        inside &= high >= 0
+        # the foot of the axis on the edge's circle lies between its ends
+        between = (np.einsum("cd,cd->c", np.cross(n, a), axis) >= 0) & (np.einsum("cd,cd->c", np.cross(b, n), axis) >= 0)
+        near = np.where(between, np.minimum(near, np.abs(np.arcsin(np.clip(high, -1, 1)))), near)
+    return np.where(inside, 0.0, near), far
+
+
+def cover_caps(axes: np.ndarray, angles: np.ndarray, max_cells: int = 8, min_level: int = 0, max_level: int = LEVELS, interior: bool = False) -> list[list[int]]:
+    """Cells that cover caps, or with `interior` cells inside them: all caps go down together, level by level.
+
+    Of cells inside a cap the largest are taken. At each level the cells over a cap's edge are split into those of their children that it meets, the ones with the fewest first, while its
+    cells stay within `max_cells`; a level below `min_level` is always split. What isn't split any more belongs to a covering.
+    """
+    n = len(axes)
+    who = np.repeat(np.arange(n), 6)
+    cells = np.tile(np.array([(2 * f + 1) << 60 for f in range(6)], np.uint64).view(np.int64), n)
+    near, far = nearest_angle(cells, axes[who])
+    meets = (near <= angles[who]) & (angles[who] >= 0)
+    who, cells, far = who[meets], cells[meets], far[meets]
+    done_who, done, held = [], [], np.zeros(n, np.int64)
+    for depth in range(LEVELS + 1):
+        inside = (far <= angles[who]) & (angles[who] <= np.pi / 2) & (depth >= min_level)
+        last = inside | (depth >= max_level)
+        keep = last & (inside | (not interior))
+        done_who.append(who[keep])
+        done.append(cells[keep])
+        held += np.bincount(who[keep], minlength=n)
+        who, cells = who[~last], cells[~last]
+        if not len(who) or depth == max_level:
+            break
+        bit = (cells & -cells) >> 2 & ((1 << 62) - 1)
+        parts = cells[:, None] + np.array([-3, -1, 1, 3]) * bit[:, None]
+        from_ = np.repeat(np.arange(len(cells)), 4)
+        near, far = nearest_angle(parts.ravel(), axes[who[from_]])
+        meets = near <= angles[who[from_]]
+        count = np.bincount(from_[meets], minlength=len(cells))
+        # in each cap the cells with the fewest such children first, as long as there is room
+        order = np.lexsort((cells, count, who))
+        first = np.append(True, who[order][1:] != who[order][:-1]) if len(order) else np.zeros(0, bool)
+        more = np.cumsum(count[order] - 1)
+        start = np.flatnonzero(first)
+        more -= np.repeat((more - (count[order] - 1))[start], np.diff(np.append(start, len(order))))
+        total = held[who[order]] + np.bincount(who, minlength=n)[who[order]]
+        split = np.zeros(len(cells), bool)
+        split[order] = (total + more <= (4 * max_cells if interior else max_cells)) | (depth < min_level)
+        if not interior:
+            done_who.append(who[~split])
+            done.append(cells[~split])
+            held += np.bincount(who[~split], minlength=n)
+        going = meets & split[from_]
+        who, cells, far = who[from_][going], parts.ravel()[going], far[going]
+    who, cells = np.concatenate(done_who), np.concatenate(done)
+    order = np.argsort(who, kind="stable")
+    ends = np.searchsorted(who[order], np.arange(n + 1))
+    cells = cells[order].tolist()
+    most = max_cells if interior else len(cells)
+    return [normalize(sorted(cells[a:b], key=lambda c: -(c & -c & (1 << 64) - 1))[:most]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _axes(lat: pa.Array, lng: pa.Array) -> np.ndarray:
+    a, b = (np.radians(np.nan_to_num(x.to_numpy(zero_copy_only=False).astype(float))) for x in (lat, lng))
+    return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], 1)
+
+
+def _coverings(interior: bool, max_cells: int, min_level: int, max_level: int):
+    @arrow_udf(ArrayType(LongType()))
+    def covered(lat: pa.Array, lng: pa.Array, angle: pa.Array) -> pa.Array:
+        known = np.array(pa.compute.and_(pa.compute.and_(lat.is_valid(), lng.is_valid()), angle.is_valid()).to_pylist(), bool)
+        r = np.where(known, np.nan_to_num(angle.to_numpy(zero_copy_only=False).astype(float)), -1.0)
+        found = cover_caps(_axes(lat, lng), r, max_cells, min_level, max_level, interior)
+        return pa.array([x if ok else None for x, ok in zip(found, known)], pa.list_(pa.int64()))
+
+    return covered
 
 
-def points_in_caps(points, caps, levels: tuple[int, ...] = tuple(range(LEVELS + 1))):
-    """points(id, lat, lng) and caps(cap, lat, lng, angle) -> (id, cap). Coverings meet cells by equality, level by level that is present;
-    an exact test follows. The caps' levels are a list of 31 at most."""
+def covering(lat, lng, angle, max_cells: int = 8, min_level: int = 0, max_level: int = LEVELS) -> Column:
+    """Cells that cover a cap about degrees with an angle in radians; null where any is, none for a negative angle."""
+    return _coverings(False, max_cells, min_level, max_level)(lat, lng, angle)
+
+
+def interior_covering(lat, lng, angle, max_cells: int = 8, min_level: int = 0, max_level: int = 20) -> Column:
+    """Cells that lie inside a cap, as large as there are."""
+    return _coverings(True, max_cells, min_level, max_level)(lat, lng, angle)
+
+
+def points_in_caps(points, caps):
+    """points(id, lat, lng) and caps(cap, lat, lng, angle) -> (id, cap), a row for each point in each cap. Coverings meet cells by equality, level by
+    level that is present, and an exact test follows. The cells of a covering don't overlap, so a point meets a cap once. Coverings are made
+    once and kept, since their levels (31 at most) are asked for before the join."""
+    spark = caps.sparkSession
     cells = caps.select("cap", F.col("lat").alias("__a"), F.col("lng").alias("__b"), "angle", F.explode(covering("lat", "lng", "angle")).alias("cell")).withColumn("level", level(F.col("cell")))
-    present = [r[0] for r in cells.select("level").distinct().collect()]
+    cells = cells.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else cells.persist()
+    present = [r[0] for r in cells.groupBy("level").count().collect()]
     placed = points.withColumn("leaf", cell_id("lat", "lng"))
     each = placed.withColumn("cell", F.explode(F.array(*[parent(F.col("leaf"), n) for n in sorted(present)]))) if present else placed.withColumn("cell", F.lit(0).cast("long")).limit(0)
     met = each.join(cells.drop("level"), "cell")
-    return met.where(haversine(F.col("lat"), F.col("lng"), F.col("__a"), F.col("__b")) <= F.col("angle")).select("id", "cap").distinct()
+    return met.where(haversine(F.col("lat"), F.col("lng"), F.col("__a"), F.col("__b")) <= F.col("angle")).select("id", "cap")
+
+
+# More of cells
+
+
+def is_valid(cell: Column) -> Column:
+    """A face from 0 to 5, and the lowest bit at an even place."""
+    return (F.shiftrightunsigned(cell, 61) < 6) & (lsb(cell).bitwiseAND(F.lit(0x1555555555555555)) != 0)
+
+
+def advance(cell: Column, steps: Column) -> Column:
+    """The cell so many places further along the curve at its level, kept between the first and the one behind the last."""
+    shift = 2 * (LEVELS - level(cell)) + 1
+    at = F.call_function("shiftrightunsigned", cell, shift).cast("long")
+    count = F.call_function("shiftleft", F.lit(6).cast("long"), 2 * level(cell))
+    to = F.greatest(F.lit(0).cast("long"), F.least(count, at + steps))
+    return F.call_function("shiftleft", to, shift).bitwiseOR(lsb(cell))
+
+
+def advance_wrapped(cell: Column, steps: Column) -> Column:
+    """As advance, but behind the last cell comes the first."""
+    shift = 2 * (LEVELS - level(cell)) + 1
+    count = F.call_function("shiftleft", F.lit(6).cast("long"), 2 * level(cell))
+    to = F.pmod(F.call_function("shiftrightunsigned", cell, shift).cast("long") + steps, count)
+    return F.call_function("shiftleft", to, shift).bitwiseOR(lsb(cell))
+
+
+def child_position(cell: Column, at: int) -> Column:
+    """Which of its four siblings the ancestor at a level is."""
+    return F.shiftrightunsigned(cell, 2 * (LEVELS - at) + 1).bitwiseAND(F.lit(3)).cast("int")
+
+
+def child_begin(cell: Column) -> Column:
+    return child(cell, 0)
+
+
+def child_end(cell: Column) -> Column:
+    """Behind the last child."""
+    return child(cell, 3) + F.shiftrightunsigned(lsb(cell), 1)
+
+
+def average_area(at: Column) -> Column:
+    """Mean area in steradians of the cells of a level."""
+    return 4 * np.pi / 6 / F.pow(F.lit(4.0), at)
+
+
+def union_contains(cells: Column, cell: Column) -> Column:
+    """Whether a set of cells that don't overlap holds a cell."""
+    return F.exists(cells, lambda c: contains(c, cell))
+
+
+def union_intersects(cells: Column, cell: Column) -> Column:
+    return F.exists(cells, lambda c: contains(c, cell) | contains(cell, c))
+
+
+def unions_intersect(a: Column, b: Column) -> Column:
+    return F.exists(a, lambda c: union_intersects(b, c))
+
+
+def union_contains_union(a: Column, b: Column) -> Column:
+    return F.forall(b, lambda c: union_contains(a, c))
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    return np.array([(p["x"], p["y"], p["z"]) for p in column.to_pylist()], float).reshape(-1, 3)
+
+
+POINT = StructType().add("x", DoubleType()).add("y", DoubleType()).add("z", DoubleType())
+
+
+@arrow_udf(POINT)
+def cell_center(cell: pa.Array) -> pa.Array:
+    """Unit vector of the centre."""
+    p = centers(cell.fill_null(1 << 60).to_numpy(zero_copy_only=False).astype(np.int64))
+    return pa.StructArray.from_arrays([pa.array(p[:, k]) for k in range(3)], ["x", "y", "z"], mask=cell.is_null())
+
+
+@arrow_udf(ArrayType(POINT))
+def cell_corners(cell: pa.Array) -> pa.Array:
+    """The four corners as unit vectors, counter-clockwise."""
+    known = [x is not None for x in cell.to_pylist()]
+    v = corners(cell.fill_null(1 << 60).to_numpy(zero_copy_only=False).astype(np.int64))
+    return pa.array([[dict(zip("xyz", p)) for p in four] if ok else None for four, ok in zip(v.tolist(), known)], pa.list_(pa.struct([(k, pa.float64()) for k in "xyz"])))
+
+
+@arrow_udf(DoubleType())
+def cell_area(cell: pa.Array) -> pa.Array:
+    """Area in steradians: two triangles."""
+    v = corners(cell.fill_null(1 << 60).to_numpy(zero_copy_only=False).astype(np.int64))
+    return pa.array(triangles(v[:, 0], v[:, 1], v[:, 2]) + triangles(v[:, 0], v[:, 2], v[:, 3]), mask=np.array(cell.is_null().to_pylist(), bool))
+
+
+def triangles(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Areas of triangles on the sphere."""
+    up = np.abs(np.einsum("ij,ij->i", a, np.cross(b, c)))
+    down = 1 + sum(np.einsum("ij,ij->i", x, y) for x, y in ((a, b), (b, c), (c, a)))
+    return 2 * np.arctan2(up, down)
+
+
+@arrow_udf(ArrayType(LongType()))
+def vertex_neighbours(cell: pa.Array, at: pa.Array) -> pa.Array:
+    """The cells of a level that meet at the corner of that level's grid nearest to the cell's centre: four, or three at a corner of the cube."""
+    out = []
+    known = [c is not None and n is not None for c, n in zip(cell.to_pylist(), at.to_pylist())]
+    cells = cell.fill_null(1 << 60).to_numpy(zero_copy_only=False).astype(np.int64)
+    levels = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    own, i, j, size = face_ij(cells)
+    i, j = i + size // 2, j + size // 2
+    width = np.int64(1) << (LEVELS - levels)
+    # the nearest corner of the grid, and one leaf on each side of it
+    x, y = ((v + width // 2) // width * width for v in (i, j))
+    low = np.int64(1) << (2 * (LEVELS - levels))
+    found = []
+    for dx, dy in ((-1, -1), (0, -1), (0, 0), (-1, 0)):
+        leaf = leaves_over_edges(own, x + dx, y + dy)
+        found.append((leaf & -low) | low)
+    for row, ok in zip(np.stack(found, 1).tolist(), known):
+        out.append(_sorted(row) if ok else None)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def leaves_over_edges(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Leaf cells at places that may lie one leaf outside their face."""
+    top = (1 << LEVELS) - 1
+    uv = lambda t: np.where(t >= 0.5, (4 * t * t - 1) / 3, (1 - 4 * (1 - t) ** 2) / 3)
+    p = face_vectors(own, uv((i + 0.5) / (1 << LEVELS)), uv((j + 0.5) / (1 << LEVELS)))
+    out = (i < 0) | (i > top) | (j < 0) | (j > top)
+    return np.where(out, ids_of_points(*p.T), ids_of_ij(own, np.clip(i, 0, top), np.clip(j, 0, top)))
+
+
+@arrow_udf(ArrayType(LongType()))
+def denormalized(cells: pa.Array, min_level: pa.Array, step: pa.Array) -> pa.Array:
+    """Cells of a union as ones of a least level, whose levels beyond that are multiples of `step` further down."""
+    out = []
+    for ids, low, mod in zip(cells.to_pylist(), min_level.to_pylist(), step.to_pylist()):
+        if ids is None:
+            out.append(None)
+            continue
+        own = []
+        for c in ids:
+            u = c & (1 << 64) - 1
+            at = LEVELS - ((u & -u).bit_length() - 1) // 2
+            to = max(at, low)
+            to = min(LEVELS, to + -(to - low) % mod)
+            bit = 1 << 2 * (LEVELS - to)
+            first = u - (u & -u) + bit
+            own += [x - (1 << 64) if x >> 63 else x for x in range(first, u + (u & -u), 2 * bit)]
+        out.append(own)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+@arrow_udf(ArrayType(LongType()))
+def expanded(cells: pa.Array, at: pa.Array) -> pa.Array:
+    """A union with all cells of a level that touch it, its own smaller cells taken up to that level."""
+    out = []
+    for ids, n in zip(cells.to_pylist(), at.to_pylist()):
+        if ids is None:
+            out.append(None)
+            continue
+        bit, own = 1 << 2 * (LEVELS - n), set()
+        for c in ids:
+            u = c & (1 << 64) - 1
+            if u & -u < bit:
+                u = u & -bit | bit
+            own.add(u)
+        border = set()
+        for u in own:
+            border |= {x & (1 << 64) - 1 for x in around(u, bit)}
+        out.append(normalize([x - (1 << 64) if x >> 63 else x for x in own | border]))
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def around(u: int, bit: int) -> list[int]:
+    """Cells with the lowest bit `bit` that share a corner or an edge with a cell from outside."""
+    own, i, j, size = (x[0] for x in face_ij(np.array([u], np.uint64).view(np.int64)))
+    width = 1 << (bit.bit_length() - 1) // 2
+    places = [(i + k, j + m) for k in range(-width, int(size) + width, width) for m in (-width, int(size))] + [(i + m, j + k) for k in range(0, int(size), width) for m in (-width, int(size))]
+    x, y = (np.array(v, np.int64) for v in zip(*places))
+    top = 1 << LEVELS
+    # a place outside the face is looked for one leaf over its edge, as far along it
+    a, b = (np.clip(v + width // 2, -1, top) for v in (x, y))
+    leaf = leaves_over_edges(np.full(len(a), own), a, b)
+    return sorted({int(c) for c in ((leaf & -bit) | bit).tolist()})

@@ -34,9 +34,13 @@ def seek(df: DataFrame, key) -> DataFrame:
     return df.where(F.col("key") >= key).orderBy("key")
 
 
-def approximate_offsets(df: DataFrame, size: Column, parts: int = 64) -> DataFrame:
-    """Bytes before each key. Sums by range of keys first, then within a range, so no window spans the table."""
+def approximate_offsets(df: DataFrame, size: Column) -> DataFrame:
+    """Bytes before each key. Sums by range of keys first, then within a range, so no window spans the table; there are as many ranges as shuffles
+    have partitions. The ranges are kept, so that both readings see the same."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = rekey(df, F.col("key"), parts).withColumn("__part", F.spark_partition_id()).withColumn("__size", size.cast("long"))
+    spread = spread.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else spread.persist()
     own = F.sum("__size").over(W.partitionBy("__part").orderBy("key").rowsBetween(W.unboundedPreceding, -1))
     sums = spread.groupBy("__part").agg(F.sum("__size").alias("__n"))
     before = sums.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
