@@ -6,6 +6,7 @@ import functools
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.functions import arrow_udf, coalesce, lit
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import slices, tokenizer_path
+from .common import released, slices, tokenizer_path
 
 #: The model, and the sign it has for a space.
 MODEL, SPACE = "piece_bpe_32k.model", "▁"
-#: Words that a worker remembers before it starts anew; symbols beyond which a segment is merged alone, by a heap.
-REMEMBERED, LONG = 300_000, 256
+#: Bytes that a task remembers of words before it starts anew. Symbols beyond which a segment is merged by a heap, in the same order: it has one
+#: merge a round, so that rounds over it would take quadratic time.
+REMEMBERED, LONG = 48 << 20, 256
 #: Rank of a pair that is no piece.
 NEVER = np.int64(1) << 40
 
@@ -70,7 +72,11 @@ class Pieces:
         self.space_first = np.array([p.startswith(SPACE) and not odd[i] for i, p in enumerate(names)])
         #: Whether SPACE follows another character in no piece, so that words can be encoded alone.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in known)
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, tuple[bytes, bytes, int]] = {}
+        self.held = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left << 21 | right
@@ -117,11 +123,10 @@ class Pieces:
         size = np.bincount(seg)[seg] if len(seg) else seg
         pos = np.arange(len(points))
         done_pos, done_sym = [pos[size == 1]], [sym[size == 1]]
-        for s in np.unique(seg[size > LONG]):
-            mine = seg == s
-            out = self.heap(sym[mine].tolist())
+        for lo in np.flatnonzero(opens & (size > LONG)).tolist():
+            out = self.heap(sym[lo : lo + int(size[lo])].tolist())
             done_sym.append(np.array(out))
-            done_pos.append(pos[mine][: len(out)])
+            done_pos.append(pos[lo : lo + len(out)])
         live = (size > 1) & (size <= LONG)
         pos, sym, seg = pos[live], sym[live], seg[live]
         while len(sym):
@@ -129,13 +134,15 @@ class Pieces:
             same = np.flatnonzero(seg[:-1] == seg[1:])
             rank[same], to[same] = self.ranks(sym[same], sym[same + 1])
             first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-            best = np.minimum.reduceat(rank << 22 | np.arange(len(sym)), first)
-            able = best >> 22 < NEVER
-            at = best[able] & ((1 << 22) - 1)
+            sizes = np.diff(np.append(first, len(sym)))
+            # a place in its segment is LONG at most, whatever the number of symbols
+            best = np.minimum.reduceat(rank * (LONG + 1) + np.arange(len(sym)) - np.repeat(first, sizes), first)
+            able = best < NEVER * (LONG + 1)
+            at = first[able] + best[able] % (LONG + 1)
             keep = np.ones(len(sym), bool)
             sym[at] = to[at]
             keep[at + 1] = False
-            going = np.repeat(able, np.diff(np.append(first, len(sym))))
+            going = np.repeat(able, sizes)
             done_pos.append(pos[~going])
             done_sym.append(sym[~going])
             keep &= going
@@ -166,8 +173,8 @@ class Pieces:
     def encode_words(self, texts: list[str]) -> list[list[tuple[bytes, bytes, int]]]:
         """Per text its words as (ids as uint32 bytes, decimal ids each with a comma, number of byte pieces)."""
         split = [self.split(x) if x else [] for x in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        if self.held > REMEMBERED:
+            self.forget()
         new = list(set().union(*split).difference(self.words))
         start, total = 0, 0
         for k, w in enumerate([*new, ""]):
@@ -186,6 +193,7 @@ class Pieces:
         low = np.concatenate(([0], np.cumsum((ids >= self.byte0) & (ids < self.byte0 + 256))))[ends]
         ends, low = (4 * ends).tolist(), np.diff(low).tolist()
         for k, w in enumerate(new):
+            self.held += 300 + len(w) + 3 * (ends[k + 1] - ends[k])
             self.words[w] = raw[ends[k] : ends[k + 1]], decimal[at[k] : at[k + 1]], low[k]
 
     def encode(self, text: str) -> list[int]:
@@ -232,12 +240,15 @@ def encoded(texts: list[str]):
 
 
 @arrow_udf(ArrayType(IntegerType()))
-def encode(text: pa.Array) -> pa.Array:
+def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Ids of each text, without begin or end ids; null stays null."""
-    texts = text.to_pylist()
-    ids = [b"".join([w[0] for w in ws]) for ws in encoded([x or "" for x in texts])]
-    ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=pa.array([x is None for x in texts]))
+    for text in columns:
+        texts = text.to_pylist()
+        ids = [b"".join([w[0] for w in ws]) for ws in encoded([x or "" for x in texts])]
+        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=pa.array([x is None for x in texts]))
+    pieces().forget()
+    released()
 
 
 @arrow_udf(StringType())
@@ -257,13 +268,16 @@ def _digests(batches):
             ids_sha.append(hashlib.sha256(b"".join([w[1] for w in words])[:-1]).hexdigest())
             text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    own.forget()
+    released()
 
 
 def piece_digests(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_tokens, SHA-256 of the decimal ids joined by commas, and of the text that decode()
     makes of them; both in one pass, as `encode` and `decode` give them.
 
-    Null text is empty: no ids, and the empty text. Null or repeated ids and repeated rows: one row each. Other columns are ignored.
+    Null text is empty: no ids, and the empty text. Texts are encoded whole: equal to the library's ids also for words of millions of characters.
+    Null or repeated ids and repeated rows: one row each. Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", coalesce("text", lit("")).alias("text")).mapInArrow(_digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

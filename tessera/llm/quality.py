@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, released, slices
 from .pieces import pieces
 
 #: Base rule: words at least, and the share of repeated words in percent at most.
@@ -77,6 +77,8 @@ def _measured(batches):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64() if k < 5 else pa.float64()) for k, c in enumerate(columns))],
                                          [*batch.schema.names[:-1], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fertility", "low", "entropy"])
+    own.forget()
+    released()
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -113,7 +115,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text, lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     kept: the base rules pass and all three measures lie in the bands of the row's language. Null text: no words, so it fails. Null lang is
-    a language of its own. Repeated rows: one row each. Empty table: no rows. Other columns are ignored.
+    a language of its own, `und`. Values on a band's edge are inside. Texts are read whole, however long. Repeated rows: one row each, and each
+    counts for the bands. Empty table: no rows. Other columns are ignored.
     """
     measured = cut(measures(docs))
     limits: dict[str, dict[str, tuple[float, float]]] = {}
