@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -11,19 +12,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, learning_rows, slices
+from .common import cut, held_out, learning_rows, released, slices
 
 #: Characters in the longest sequence.
 ORDER = 4
 #: Part of a count that goes to shorter sequences.
 DISCOUNT = 0.75
-#: A text is rejected if its cross-entropy lies so many deviations over the mean of learned texts of its language.
-DEVIATIONS = 8.0
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 150_000
+#: Share of the learning rows that calibrate rejection, and are not counted: one in so many.
+HELD_BACK = 8
+#: A text is rejected beyond MARGIN times the excess (in deviations) that only the part FALSE of the calibrating texts of its language has; that
+#: excess counts as FLOOR at least, since few texts don't show how far good ones may lie.
+FALSE, MARGIN, FLOOR = 0.001, 1.5, 4.0
+#: How sharply the score tells languages apart: probabilities are the softmax of -SHARP times the cross-entropy a character, in nats.
+SHARP = 12.0
+#: Words that a task remembers before it starts anew.
+REMEMBERED = 200_000
 #: Words that are counted at a time, and characters that are scored at a time.
 HELD, AT_A_TIME = 150_000, 2_000_000
 UNKNOWN = "und"
+_HEAD = " " * (ORDER - 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -34,6 +41,21 @@ def hashes(points: np.ndarray, n: int) -> np.ndarray:
     return mixed([points[k : size + k] for k in range(n)], size)
 
 
+def gathered(points: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the runs of n code points that end at `last`."""
+    return mixed([points[last - n + 1 + k] for k in range(n)], len(last))
+
+
+@functools.lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """For each code point whether it is a letter to _LETTERS."""
+    out = np.zeros(0x110000, bool)
+    every = "".join(map(chr, range(0x110000)))
+    for m in _LETTERS.finditer(every):
+        out[m.start() : m.end()] = True
+    return out
+
+
 def mixed(columns: list[np.ndarray], size: int) -> np.ndarray:
     h = np.full(size, len(columns), np.uint64)
     for c in columns:
@@ -64,6 +86,7 @@ def _words(batches):
                 yield out()
     if seen:
         yield out()
+    released()
 
 
 def _grams(batches):
@@ -126,6 +149,7 @@ class Models:
             if order == 1:
                 self.floor = np.where(len(ctx), weight[0] if len(ctx) else 1.0, 1.0) * np.full(n, 1.0 / size)
             lower = lambda tail, o=order: self._found(o, tail)
+        self.ready()
 
     def _found(self, order: int, key: np.ndarray) -> np.ndarray:
         keys, p = self.grams[order]
@@ -139,44 +163,74 @@ class Models:
     def log_p(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of log-probabilities of each word by language, and numbers of characters (with the space after)."""
         n = len(self.langs)
-        parts = [pieces_of(w) for w in words]
-        own = np.repeat(np.arange(len(words)), [len(x) for x in parts])
-        flat = [p for x in parts for p in x]
-        if not flat:
+        joined = np.frombuffer(" ".join(words).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = letters()[joined]
+        at = np.flatnonzero(letter)
+        if not len(at):
             return np.zeros((len(words), n)), np.zeros(len(words))
-        text = "".join(" " * (ORDER - 1) + p + " " for p in flat)
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        sizes = np.array([len(p) + ORDER for p in flat])
-        ends = np.cumsum(sizes)
-        last = np.arange(len(points))
-        inside = np.ones(len(points), bool)
-        for k in range(ORDER - 1):
-            inside[ends - sizes + k] = False
-        last = last[inside]
-        word = np.repeat(own, sizes - (ORDER - 1))
-        p = np.repeat(self.floor[None], len(last), 0)
-        open_, scale = np.arange(len(last)), np.ones((len(last), n))
+        opens = np.append(True, np.diff(at) > 1)
+        run = np.cumsum(opens) - 1
+        own = np.cumsum(joined == 32)[at[opens]]
+        # each run of letters between ORDER - 1 spaces and one more
+        points = np.full(len(at) + ORDER * (run[-1] + 1), 32, np.uint64)
+        place = np.arange(len(at)) + ORDER * run + ORDER - 1
+        points[place] = joined[at]
+        sizes = np.bincount(run) + 1
+        ends = np.append(np.flatnonzero(opens)[1:], len(at)) - 1
+        last = np.sort(np.concatenate((place, place[ends] + 1)))
+        p = np.repeat(np.log(self.floor)[None], len(last), 0)
+        open_, scale = np.arange(len(last)), None
         for order in range(ORDER, 0, -1):
-            h = hashes(points, order)[last[open_] - order + 1]
-            keys, own_p = self.grams[order]
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            p[open_[hit]] = scale[open_[hit]] * own_p[at[hit]]
+            h = hashes(points, order)[last - order + 1] if order == ORDER else gathered(points, last[open_], order)
+            hit, at = self.place(("gram", order), self.grams[order][0], h)
+            rows = self.logs[order][at[hit]]
+            p[open_[hit]] = rows if scale is None else rows + scale[hit]
             open_ = open_[~hit]
             if not len(open_):
                 break
+            scale = np.zeros((len(open_), n)) if scale is None else scale[~hit]
             ctx, weight = self.contexts[order]
-            if order > 1 and len(ctx):
-                c = hashes(points, order - 1)[last[open_] - order + 1]
-                at = np.minimum(np.searchsorted(ctx, c), len(ctx) - 1)
-                hit = ctx[at] == c
-                scale[open_[hit]] *= weight[at[hit]]
-            elif order == 1:
-                p[open_] = scale[open_] * self.floor
-        logs = np.log(np.maximum(p, 1e-30))
+            if order > 1:
+                c = gathered(points, last[open_] - 1, order - 1)
+                hit, at = self.place(("context", order), ctx, c)
+                scale[hit] += np.log(weight[at[hit]])
+            else:
+                p[open_] += scale
+        starts = np.cumsum(sizes) - sizes
+        each = np.add.reduceat(p, starts, axis=0)
         out = np.zeros((len(words), n))
-        np.add.at(out, word, logs)
-        return out, np.bincount(word, minlength=len(words)).astype(float)
+        np.add.at(out, own, each)
+        return out, np.bincount(own, sizes, len(words))
+
+    def place(self, name, keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each asked key is in a sorted array, and where. Keys are hashes, so their first bits tell the place to within a few entries."""
+        if not len(keys):
+            return np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+        if name not in self.starts:
+            bits = max(int(len(keys)).bit_length(), 4)
+            bounds = (np.arange(1 << bits, dtype=np.int64) - (1 << bits - 1)) << np.int64(64 - bits)
+            first = np.searchsorted(keys, bounds)
+            self.starts[name] = bits, first, int(np.diff(np.append(first, len(keys))).max())
+        bits, first, most = self.starts[name]
+        at = first[(asked >> np.int64(64 - bits)) + (1 << bits - 1)]
+        at = np.minimum(at, len(keys) - 1)
+        for _ in range(most):
+            low = keys[at] < asked
+            if not low.any():
+                break
+            at = np.minimum(at + low, len(keys) - 1)
+        return keys[at] == asked, at
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("starts", "logs")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.ready()
+
+    def ready(self) -> None:
+        self.starts = {}
+        self.logs = {k: np.log(p) for k, (_, p) in self.grams.items()}
 
 
 def fit(docs: DataFrame) -> Models:
@@ -199,24 +253,30 @@ def fit(docs: DataFrame) -> Models:
 
 
 class Scorer:
+    """Scores texts; sums of words are remembered. Only the models are sent along."""
+
     def __init__(self, models: Models):
-        self.models, self.at, self.sums, self.sizes = models, {}, None, None
+        self.models = models
+        self.forget()
+
+    def __reduce__(self):
+        return Scorer, (self.models,)
+
+    def forget(self) -> None:
+        self.at, self.sums, self.sizes = {}, np.zeros((0, len(self.models.langs))), np.zeros(0)
 
     def __call__(self, texts: list[str | None]):
         """Per text: number of the best language (-1: none), its cross-entropy a character, its probability, characters."""
         tokens = [(t or "").split() for t in texts]
         if len(self.at) > REMEMBERED:
-            self.at = {}
-        if not self.at:
-            self.sums, self.sizes = np.zeros((0, len(self.models.langs))), np.zeros(0)
+            self.forget()
         new = list(set().union(*tokens).difference(self.at)) if tokens else []
         logs, sizes = [self.sums], [self.sizes]
-        for lo in range(0, len(new), 50_000):
-            a, b = self.models.log_p(new[lo : lo + 50_000])
+        for lo in range(0, len(new), 20_000):
+            a, b = self.models.log_p(new[lo : lo + 20_000])
             logs.append(a)
             sizes.append(b)
-        for k, w in enumerate(new, len(self.sums)):
-            self.at[w] = k
+        self.at.update(zip(new, range(len(self.sums), len(self.sums) + len(new))))
         self.sums, self.sizes = np.concatenate(logs), np.concatenate(sizes)
         out = []
         for ws in tokens:
@@ -227,62 +287,100 @@ class Scorer:
                 continue
             cross = -self.sums[at].sum(0) / n
             best = int(cross.argmin())
-            out.append((best, float(cross[best]), float(1 / np.exp(-(cross - cross[best]) * min(n, 60.0)).sum()), n))
+            out.append((best, float(cross[best]), float(1 / np.exp(-SHARP * (cross - cross[best])).sum()), n))
         return out
 
+    def of(self, column: pa.Array):
+        """As for a list of texts, some at a time."""
+        sizes = [x or 0 for x in pc.binary_length(column).to_pylist()]
+        return [x for lo, hi in slices(sizes, AT_A_TIME) for x in self(column.slice(lo, hi - lo).to_pylist())]
 
-def predict(docs: DataFrame, models: Models, *columns: str) -> DataFrame:
-    """docs' columns (doc_id if none are named) with lang_pred, cross_entropy, score and letters (characters that count)."""
-    names = list(columns or ("doc_id",))
-    at = len(names)
-    scorer = Scorer(models)
 
-    def parts(batches):
-        for b in batches:
-            sizes = [x or 0 for x in pc.binary_length(b.column(at)).to_pylist()]
-            for lo, hi in slices(sizes, AT_A_TIME):
-                yield b.slice(lo, hi - lo)
+class Limits:
+    """Calibrated rejection by language: the excess over the mean cross-entropy, in deviations for a text of its length, and the most there may be."""
 
-    def predicted(batches):
-        langs = [*models.langs, UNKNOWN]
-        for b in parts(batches):
-            found = scorer(b.column(at).to_pylist())
-            best, cross, score, n = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([langs[k] for k in best], pa.string()), pa.array(cross, pa.float64()), pa.array(score, pa.float64()), pa.array(n, pa.float64())], [*names, "__lang_pred", "__cross", "__score", "__letters"])
+    def __init__(self, rows: list):
+        self.by = {r.lang: (r.mean, max(r.fixed or 0.0, 1e-4), max(r.by_length or 0.0, 0.0)) for r in rows}
+        self.most: dict[str, float] = {}
 
-    given = docs.select(*names, F.col("text").alias("__text"))
-    schema = given.drop("__text").schema.add("__lang_pred", "string").add("__cross", "double").add("__score", "double").add("__letters", "double")
-    return given.mapInArrow(predicted, schema)
+    def excess(self, lang: str, cross: float, letters: float) -> float:
+        mean, fixed, by_length = self.by[lang]
+        return (cross - mean) / (fixed + by_length / letters) ** 0.5
 
+    def rejects(self, lang: str, cross: float | None, letters: float) -> bool:
+        """No letter, or further off than calibrating texts of the language are; a language without such texts rejects none."""
+        return cross is None or lang in self.most and self.excess(lang, cross, letters) > self.most[lang]
 
-def bounds(scored: DataFrame) -> DataFrame:
-    """Calibration by language: mean and deviation of the cross-entropy over the texts that were learned from."""
-    known = scored.where("__learned and __cross is not null")
-    return known.groupBy("__lang_pred").agg(F.avg("__cross").alias("m"), F.coalesce(F.stddev_pop("__cross"), F.lit(0.0)).alias("d"))
 
+def held_back(doc_id) -> F.Column:
+    """Learning rows that calibrate and aren't counted."""
+    return learning_rows(doc_id) & (F.pmod(F.xxhash64(F.lit(3), doc_id), F.lit(HELD_BACK)) == 0)
 
-def rejected(m, d) -> F.Column:
-    """No letter, or a cross-entropy far over those of its language; short texts may lie further off."""
-    return F.col("__cross").isNull() | F.coalesce(F.col("__cross") > m + DEVIATIONS * (d + F.lit(0.05)) + F.lit(10.0) / F.sqrt(F.col("__letters")), F.lit(False))
+
+def calibrated(docs: DataFrame) -> tuple[Models, Limits]:
+    """Models from the learning rows of docs(doc_id, text, lang) but those that are held back, and limits of rejection from these."""
+    models = fit(docs.where(learning_rows(F.col("doc_id")) & ~held_back(F.col("doc_id"))))
+    scorer, langs = Scorer(models), [*models.langs, UNKNOWN]
+
+    def measured(batches):
+        for b in batches:
+            best, cross, _, letters = zip(*scorer.of(b.column(0))) if b.num_rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in best], pa.string()), pa.array(cross, pa.float64()), pa.array(letters, pa.float64())], ["lang", "cross", "letters"])
+        scorer.forget()
+        released()
+
+    rows = docs.where(held_back(F.col("doc_id")) & F.col("lang").isNotNull()).select("text").mapInArrow(measured, "lang string, cross double, letters double")
+    rows = cut(rows.where("cross is not null"))
+    means = rows.groupBy("lang").agg(F.avg("cross").alias("mean"))  # one row a language, here and below
+    square = F.pow(F.col("cross") - F.col("mean"), 2)
+    spread = rows.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.regr_intercept(square, 1 / F.col("letters")).alias("fixed"), F.regr_slope(square, 1 / F.col("letters")).alias("by_length"), F.avg(square).alias("whole"))
+    limits = Limits(spread.select("lang", "mean", F.when(F.col("fixed") > 0, F.col("fixed")).otherwise(F.col("whole")).alias("fixed"), "by_length").collect())
+    if limits.by:
+        value = F.create_map(*[x for lang, v in limits.by.items() for x in (F.lit(lang), F.struct(*[F.lit(y) for y in v]))])[F.col("lang")]
+        far = (F.col("cross") - value["col1"]) / F.sqrt(value["col2"] + value["col3"] / F.col("letters"))
+        limits.most = {r.lang: MARGIN * max(r.most, FLOOR) for r in rows.groupBy("lang").agg(F.percentile_approx(far, F.lit(1 - FALSE), F.lit(100_000)).alias("most")).collect()}
+    return models, limits
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text, lang): doc_id, held_out, lang_pred, score (0 to 1), rejected.
 
-    Learns from all rows that are not held out; lang is no input of a prediction. Null text or text without a letter: `und`, score 0,
-    rejected. No language to learn: `und` for all. Null ids are in no fold; repeated rows: one row each. Other columns are ignored.
+    Learns from all rows that are not held out; lang is no input of a prediction. Null text or text without a letter: `und`, score 0, rejected.
+    Of languages with equal cross-entropy the first in alphabetical order wins. Texts are read whole, however long; their words are scored apart.
+    No language to learn: `und` for all. Null ids are in no fold; repeated rows: one row each. Empty table: no rows. Other columns are ignored.
     """
-    models = fit(docs.where(learning_rows(F.col("doc_id"))))
-    scored = cut(predict(docs, models).withColumn("__learned", learning_rows(F.col("doc_id"))))
-    limits = {r["__lang_pred"]: (r.m, r.d) for r in bounds(scored).collect()}  # one row a language
-    at = lambda k: F.coalesce(F.create_map(*[F.lit(x) for lang, v in limits.items() for x in (lang, v[k])])[F.col("__lang_pred")], F.lit(1e9 * (1 - k))) if limits else F.lit(0.0)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), rejected(at(0), at(1)).alias("rejected"))
+    models, limits = calibrated(docs.select("doc_id", "text", "lang"))
+    scorer, langs = Scorer(models), [*models.langs, UNKNOWN]
+
+    def predicted(batches):
+        for b in batches:
+            best, cross, score, letters = zip(*scorer.of(b.column(1))) if b.num_rows else ((),) * 4
+            names = [langs[k] for k in best]
+            gone = list(map(limits.rejects, names, cross, letters))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+        scorer.forget()
+        released()
+
+    schema = docs.select("doc_id").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    found = docs.select("doc_id", "text").mapInArrow(predicted, schema)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those that are rejected; columns as before."""
-    models = fit(docs.where(learning_rows(F.col("doc_id"))))
-    scored = predict(docs, models, *docs.columns)
-    limits = {r["__lang_pred"]: (r.m, r.d) for r in bounds(predict(docs, models).withColumn("__learned", learning_rows(F.col("doc_id")))).collect()}
-    at = lambda k: F.coalesce(F.create_map(*[F.lit(x) for lang, v in limits.items() for x in (lang, v[k])])[F.col("__lang_pred")], F.lit(1e9 * (1 - k))) if limits else F.lit(0.0)
-    return scored.where(~rejected(at(0), at(1))).select(*docs.columns)
+    """docs without the rows that are rejected; columns as before, whatever their names, and rows as they were.
+
+    Null text and text without a letter go. Without a language to learn all go, as none can be told. Rows without an id are judged by their text;
+    repeated rows stay or go together. Empty table: no rows.
+    """
+    models, limits = calibrated(docs.select("doc_id", "text", "lang"))
+    scorer, langs = Scorer(models), [*models.langs, UNKNOWN]
+    at = docs.columns.index("text")
+
+    def known(batches):
+        for b in batches:
+            found = scorer.of(b.column(at))
+            yield b.filter(pa.array([not limits.rejects(langs[k], cross, letters) for k, cross, _, letters in found], pa.bool_()))
+        scorer.forget()
+        released()
+
+    return docs.mapInArrow(known, docs.schema)
