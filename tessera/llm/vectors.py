@@ -122,8 +122,9 @@ def top_k(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     """Exact neighbours of the rows of vectors(vec_id, embedding) whose id is divisible by `every`: query_id, rank, vec_id, score.
 
     Score: inner product of the quantised vectors; ties go to the smaller id. Vectors that are null, or have null or non-finite components,
-    and rows without an id take no part. A query has all others if they are fewer. Repeated rows are candidates each, but rows with the
-    query's own id never. Empty table: no rows.
+    and rows without an id take no part. A query has all others if they are fewer. Rows that share an id are one query, by the least of their
+    vectors; as candidates they count each, but never for a query of their own id. Of vectors of unequal length the common part counts. Empty
+    table: no rows. Other columns are ignored.
 
     The index deals every vector to its nearest pivot and sorts by distance, over range partitions, so a pivot or a distance with many
     vectors lies in many blocks. A query first takes the best of its own block; the bound that gives (a distance r) leaves of each pivot the
@@ -165,8 +166,10 @@ def top_k(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
                     low = np.array([bound.get(q, [])[-1] if len(bound.get(q, [])) == top else -np.inf for q in ids[at].tolist()], float)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["pivot"], np.int32)), pa.array(low), pa.array(ids[at]), pa.array([v for v in x[at]], pa.list_(pa.float64()))], ["pivot", "dist", "vec_id", "q"])
 
-    # `dist` carries the score that a query has reached
-    asked = index.mapInArrow(seeded, INDEXED).sortWithinPartitions("pivot", "vec_id").mapInArrow(_packed(ASKED, dims), PACKED)
+    # `dist` carries the score that a query has reached; of rows with one id the least vector asks
+    seeds = index.mapInArrow(seeded, INDEXED).groupBy("vec_id").agg(F.min(F.struct("q", (-F.col("dist")).alias("far"), "pivot")).alias("s"))
+    seeds = seeds.select("s.pivot", (-F.col("s.far")).alias("dist"), "vec_id", "s.q")
+    asked = seeds.sortWithinPartitions("pivot", "vec_id").mapInArrow(_packed(ASKED, dims), PACKED)
     asked = cut(asked.withColumn("block", F.monotonically_increasing_id()))
 
     def rings(batches):
