@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Upper limits of the buckets: 1 to 9, then for each power of ten the same sixteen steps, then no limit.
+#: Upper limits of the buckets, 1 to 9, then for each power of ten the same sixteen steps, then no limit.
 LIMITS = [float(k) for k in range(1, 10)] + [s * 10.0**e / 10 for e in range(1, 10) for s in (10, 12, 14, 16, 18, 20, 25, 30, 35, 40, 45, 50, 60, 70, 80, 90)] + [1e200]
 
 
@@ -47,11 +47,20 @@ def percentile(df: DataFrame, value: Column, p: float) -> DataFrame:
     return first.select(F.least(F.greatest(at, F.col("lo")), F.col("hi")).alias("value"))
 
 
+#: Seconds of a slice of time: each goes to a task of its own, with what the sums reach back for.
+SLICE = 3600
+
+
 def sum_last(df: DataFrame, second: Column, delta: Column, offset: int, count: int, *keys: str) -> DataFrame:
-    """For each second that has events the sum of `count` seconds that end `offset` before it."""
+    """For each second that has events the sum of `count` seconds that end `offset` before it. Time is cut into slices, and a second is also given to
+    the slices that reach back to it, so that a key's seconds, or all seconds without one, don't come together in one task."""
     each = df.groupBy(*keys, second.alias("second")).agg(F.sum(delta).alias("n"))
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    return each.withColumn("total", F.coalesce(F.sum("n").over(w.orderBy("second").rangeBetween(-offset - count + 1, -offset)), F.lit(0)))
+    reach = offset + count - 1
+    slices = F.explode(F.sequence(F.floor(F.col("second") / SLICE), F.floor((F.col("second") + reach) / SLICE))).alias("__slice")
+    dealt = each.select("*", slices)
+    w = W.partitionBy(*keys, "__slice").orderBy("second").rangeBetween(-reach, -offset)
+    summed = dealt.withColumn("total", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return summed.where(F.floor(F.col("second") / SLICE) == F.col("__slice")).drop("__slice")
 
 
 def qps(df: DataFrame, second: Column, *keys: str) -> DataFrame:

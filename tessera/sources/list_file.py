@@ -136,10 +136,10 @@ def header(data: bytes) -> tuple[int, dict[str, str], int]:
     return data[5] * FACTOR, decode_map(body), 15 + n
 
 
-def _physical(data: bytes, size: int, at: int, check: bool, dropped) -> Iterator[tuple[int, bytes]]:
-    """(type, payload) of each physical record; type 0 where bytes were dropped."""
-    for start in range(at, len(data), size):
-        block, p = data[start : start + size], 0
+def _physical(blocks: Iterator[bytes], size: int, check: bool, dropped) -> Iterator[tuple[int, int, bytes]]:
+    """(number of the block, type, payload) of each physical record; type 0 where bytes were dropped."""
+    for number, block in enumerate(blocks):
+        p = 0
         while len(block) - p >= HEADER:
             crc, n = struct.unpack_from("<II", block, p)
             kind, end = block[p + 8], p + HEADER + n
@@ -148,7 +148,7 @@ def _physical(data: bytes, size: int, at: int, check: bool, dropped) -> Iterator
             bad = "bad length" if end > len(block) else "checksum" if check and unmask(crc) != crc32c_of(block[p + 8 : end]) else ""
             if bad:
                 dropped(len(block) - p, bad)
-                yield 0, b""
+                yield number, 0, b""
                 break
             payload, p = block[p + HEADER : end], end
             if kind & PACKED:
@@ -157,31 +157,37 @@ def _physical(data: bytes, size: int, at: int, check: bool, dropped) -> Iterator
                     payload = _snappy.decompress(payload[1:], decompressed_size=size_out, asbytes=True)
                 except (pa.ArrowException, IndexError, OSError):
                     dropped(n + HEADER, "compression")
-                    yield 0, b""
+                    yield number, 0, b""
                     continue
-            yield kind & 15, payload
+            yield number, kind & 15, payload
         else:
-            if p < len(block) and start + size >= len(data) and len(block) < size:
+            if p < len(block) < size:  # only the last block is shorter
                 dropped(len(block) - p, "truncated")
 
 
-def decode(data: bytes, check: bool = True, dropped=lambda n, why: None) -> Iterator[bytes]:
-    """Records of a file. What is corrupt is reported to `dropped` and left out, and reading goes on."""
-    size, _, at = header(data)
+def decode_blocks(blocks: Iterator[bytes], size: int, check: bool = True, dropped=lambda n, why: None, whole: bool = True, own: int | None = None) -> Iterator[bytes]:
+    """Records that begin in the first `own` blocks (in all, if none are named). Unless the blocks are the beginning of a file, the rest of a record
+    from before is left out. What is corrupt is reported to `dropped` and left out, and reading goes on."""
     parts: list[bytes] | None = None
-    for kind, payload in _physical(data, size, at, check, dropped):
+    for number, kind, payload in _physical(blocks, size, check, dropped):
+        if own is not None and number >= own and parts is None:
+            return
         if kind in (MIDDLE, LAST):
             if parts is None:
-                dropped(len(payload), "no start")
+                if whole:
+                    dropped(len(payload), "no start")
                 continue
             parts.append(payload)
             if kind == LAST:
                 yield b"".join(parts)
                 parts = None
             continue
+        whole = True
         if parts:
             dropped(sum(map(len, parts)), "no end")
         parts = None
+        if own is not None and number >= own:
+            return
         if kind == FULL:
             yield payload
         elif kind == FIRST:
@@ -201,37 +207,68 @@ def decode(data: bytes, check: bool = True, dropped=lambda n, why: None) -> Iter
         dropped(sum(map(len, parts)), "no end")
 
 
+def decode(data: bytes, check: bool = True, dropped=lambda n, why: None) -> Iterator[bytes]:
+    """Records of a file's bytes."""
+    size, _, at = header(data)
+    return decode_blocks((data[k : k + size] for k in range(at, len(data), size)), size, check, dropped)
+
+
+def read_header(f) -> tuple[int, dict[str, str], int]:
+    """As header, of an open file: no more of it is read than the metadata."""
+    head = f.read(15)
+    if len(head) == 15 and head[6]:
+        head += f.read(struct.unpack_from("<I", head, 11)[0])
+    return header(head)
+
+
 def _open(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
+#: Bytes of a split, in whole blocks.
+SPLIT = 128 << 20
+
+
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A file, or `count` blocks of it from `first` on."""
+
+    def __init__(self, path: str, first: int = 0, count: int = 0):
+        self.path, self.first, self.count = path, first, count
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.check, self.fail = options["path"], options.get("checksum", "true") == "true", options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT)))
 
     def partitions(self):
         store, path = _open(self.path)
-        if store.get_file_info(path).type == fs.FileType.File:
-            return [_File(path)]
-        found = store.get_file_info(fs.FileSelector(path, recursive=True))
-        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(("_", "."))]
+        info = store.get_file_info(path)
+        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
+        out = []
+        for f in sorted(found, key=lambda f: f.path):
+            if f.type == fs.FileType.File and (f is info or not os.path.basename(f.path).startswith(("_", "."))):
+                with store.open_input_file(f.path) as own:
+                    size, _, at = read_header(own)
+                blocks, step = -(-(f.size - at) // size), max(self.split // size, 1)
+                out += [_File(f.path, k, min(step, blocks - k)) for k in range(0, blocks, step)] or [_File(f.path, 0, 0)]
+        return out
 
     def read(self, partition):
         store, _ = _open(self.path)
-        with store.open_input_file(partition.path) as f:
-            data = f.read()
 
         def dropped(n, why):
             if self.fail:
                 raise Corrupt(f"{partition.path}: {why}, {n} bytes")
 
+        with store.open_input_file(partition.path) as f:
+            size, _, at = read_header(f)
+            f.seek(at + partition.first * size)
+            yield from self.batches(decode_blocks(iter(lambda: f.read(size), b""), size, self.check, dropped, not partition.first, partition.count))
+
+    def batches(self, records):
         held, size = [], 0
-        for record in decode(data, self.check, dropped):
+        for record in records:
             held.append(record)
             size += len(record)
             if size > 4_000_000 or len(held) >= 10_000:
@@ -303,4 +340,4 @@ def register(spark) -> None:
 def metadata(path: str) -> dict[str, str]:
     store, own = _open(path)
     with store.open_input_file(own) as f:
-        return header(f.read(1 << 20))[1]
+        return read_header(f)[1]

@@ -22,7 +22,7 @@ def test_cover_holds_every_point():
     rng = np.random.default_rng(3)
     for axis in points(15, 1):
         angle = float(rng.choice([0.001, 0.05, 0.6, 2.0]))
-        cells = geo.cover_cap(axis, angle)
+        (cells,) = geo.cover_caps(axis[None], np.array([angle]))
         near = axis + rng.normal(size=(300, 3)) * angle
         near /= np.linalg.norm(near, axis=1, keepdims=True)
         near = near[np.arccos(np.clip(near @ axis, -1, 1)) <= angle]

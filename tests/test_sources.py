@@ -66,3 +66,17 @@ def test_checksums():
 def test_lenient_json(text, want):
     got = strict_json(text)
     assert got == want or got and want and __import__("json").loads(got) == __import__("json").loads(want)
+
+
+def test_splits_read_what_the_whole_file_holds(spark, tmp_path):
+    """Records of all sizes, larger than a block too, whatever the splits; each is read by the split that it begins in."""
+    r = random.Random(4)
+    records = [r.randbytes(r.choice([0, 10, 3000, 70_000, 200_000])) for _ in range(120)]
+    with open(f"{tmp_path}/a.lst", "wb") as f:
+        for piece in L.encode(records, {"k": "v" * 3000}, 1, False):
+            f.write(piece)
+    L.register(spark)
+    for size in (1, 200_000, 1 << 30):
+        df = spark.read.format("lst").option("splitBytes", size).load(f"{tmp_path}/a.lst")
+        assert sorted(bytes(x.value) for x in df.collect()) == sorted(records)
+    assert df.rdd.getNumPartitions() == 1 and L.metadata(f"{tmp_path}/a.lst") == {"k": "v" * 3000}
