@@ -26,8 +26,8 @@ _CRC = _table().tolist()
 MASK_DELTA = 0xA282EAD8
 
 
-#: Pieces that a long text is cut into; they are checked side by side.
-LANES = 256
+#: Pieces that a long text is cut into, which are checked side by side, and their least length.
+LANES, SHORTEST = 256, 64
 _CRC_ARRAY = _table()
 
 
@@ -52,13 +52,11 @@ def _zeros(n: int) -> np.ndarray:
 
 
 def crc32c_of(data: bytes, start: int = 0) -> int:
-    c = start ^ 0xFFFFFFFF
-    size = len(data) // LANES
-    head = len(data) - LANES * size if size >= 4 else len(data)
-    for b in data[:head]:
-        c = _CRC[(c ^ b) & 255] ^ c >> 8
-    if head < len(data):
-        lanes = np.frombuffer(data, np.uint8, LANES * size, head).reshape(LANES, size).T.astype(np.uint32)
+    c, at = start ^ 0xFFFFFFFF, 0
+    while len(data) - at >= LANES * SHORTEST:  # pieces of a power of two, so that few maps are needed
+        size = 1 << ((len(data) - at) // LANES).bit_length() - 1
+        lanes = np.frombuffer(data, np.uint8, LANES * size, at).reshape(LANES, size).T.astype(np.uint32)
+        at += LANES * size
         sums = np.zeros(LANES, np.uint32)
         sums[0] = c
         for row in lanes:
@@ -66,6 +64,8 @@ def crc32c_of(data: bytes, start: int = 0) -> int:
         while len(sums) > 1:  # neighbours are joined: the left one moves over the right one's bytes
             sums, size = _shifted(_zeros(size), sums[::2]) ^ sums[1::2], 2 * size
         c = int(sums[0])
+    for b in data[at:]:
+        c = _CRC[(c ^ b) & 255] ^ c >> 8
     return c ^ 0xFFFFFFFF
 
 

@@ -687,4 +687,4 @@ def pricing_summary(spark, d):
 
 
 # The other queries register themselves
-from . import scalar_queries, shape_queries  # noqa: E402, F401
+from . import scalar_queries, shape_queries, source_queries  # noqa: E402, F401
