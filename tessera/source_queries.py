@@ -15,7 +15,7 @@ from pyspark.sql.types import BinaryType
 
 from .functions import strings as S
 from .queries import query, read
-from .sources import list_file, sorted_table, text
+from .sources import list_file, records, sorted_table, text
 
 
 def scratch(spark, name: str) -> str:
@@ -122,3 +122,29 @@ def columnar_round(spark, d):
 def empty_relation(spark, d):
     """No rows, with the schema of the table."""
     return read(spark, d, "part").select("p_partkey", "p_size").limit(0)
+
+
+def _messages(spark, d):
+    from .queries import nested
+
+    o = nested(spark, d).select("id", "cust", "status", "priority", F.transform("item", lambda i: F.struct(i["number"].alias("number"), i["part"].alias("part"), i["flag"].alias("flag"))).alias("item"))
+    return o.select("*", (F.col("cust") / 4).alias("quarter"), (F.col("id") % 2 == 0).alias("even"), (-F.col("id")).alias("minus"))
+
+
+@query("""select o_orderkey as id, o_custkey as cust, nullif(o_orderpriority, '5-LOW') as priority, o_custkey / 4 as quarter, o_orderkey % 2 = 0 as even, -o_orderkey as minus, coalesce(n, 0)::integer as items, coalesce(parts, 0)::bigint as parts
+from orders left join (select l_orderkey, count(*) as n, sum(l_partkey)::bigint as parts from lineitem group by 1) on l_orderkey = o_orderkey""")
+def typed_records(spark, d):
+    """Orders with their items as messages in self-describing list files, written and read back by the type that the files name."""
+    path = scratch(spark, "records")
+    records.write(_messages(spark, d), path)
+    r = records.read(spark, path)
+    total = F.aggregate("item", F.lit(0).cast("bigint"), lambda s, x: s + x["part"])
+    return r.select("id", "cust", "priority", "quarter", "even", "minus", F.size("item").alias("items"), total.alias("parts"))
+
+
+@query("""select * from (values ('Record', 1, 'id', 'bigint', 'optional'), ('Record', 2, 'cust', 'bigint', 'optional'), ('Record', 3, 'status', 'string', 'optional'), ('Record', 4, 'priority', 'string', 'optional'), ('Record', 5, 'item', 'message', 'repeated'), ('Record', 6, 'quarter', 'double', 'optional'),
+('Record', 7, 'even', 'boolean', 'optional'), ('Record', 8, 'minus', 'bigint', 'optional'), ('Record.item', 1, 'number', 'int', 'optional'), ('Record.item', 2, 'part', 'bigint', 'optional'), ('Record.item', 3, 'flag', 'string', 'optional')) v(message, tag, name, type, label)""")
+def schema_catalogue(spark, d):
+    path = scratch(spark, "records")
+    records.write(_messages(spark, d), path)
+    return records.catalogue(spark, path)
