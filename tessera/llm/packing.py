@@ -16,8 +16,8 @@ from .tokens import texts_of, word_ids
 
 #: Tokens in a sequence, and the id after every document.
 ROOM, END = 1024, 0
-#: The linear program ends within this part of its lower bound.
-GAP = 0.005
+#: The linear program ends within this part of its lower bound, or when so many pricings together have saved less than a tenth of it.
+GAP, PATIENCE = 0.005, 25
 #: Of the columns that a pricing gives, so many of most gain are looked at for a simplex step.
 TOGETHER = 32
 #: Part of the lengths themselves, as duals, in what columns are priced by at first; it falls by STEP whenever no column helps. Until it is 0,
@@ -75,7 +75,8 @@ def solve(lengths: np.ndarray, demand: np.ndarray, room: int = ROOM) -> tuple[li
     Column generation with a revised simplex. It begins with pairs of a long piece and the longest beside it, and
     sequences of one length. Duals price columns by Knapsack; they enter in
     turns while they help. Duals swing far at first, so columns are priced by a mean of them and the lengths (a token costs about
-    one), and by the duals alone in the end. It ends when the cost is within GAP of the bound that prices and dearest pattern give, or no column helps.
+    one), and by the duals alone in the end. It ends when the cost is within GAP of the bound that prices and dearest pattern give, no column helps, or PATIENCE pricings have
+    hardly helped.
     """
     m = len(lengths)
     random = np.random.default_rng(1)
@@ -92,13 +93,14 @@ def solve(lengths: np.ndarray, demand: np.ndarray, room: int = ROOM) -> tuple[li
         cost[k] = padded(int(lengths @ basis[:, k]), room) if basis[k, k] > 0 else 0.0
     inverse = np.linalg.inv(basis).T.copy()  # transposed: a row for each length, so that the few lengths of a pattern are read in one piece
     use, least = asked @ inverse, float(lengths @ demand)
-    turn, steady = 0, STEADY
+    turn, steady, spent = 0, STEADY, []
     while True:
         dual = inverse @ cost
         prices = (steady * lengths + (1 - steady) * np.maximum(dual, 0)) * (1 + (steady > 0) * SCATTER * random.random(m))
         sack = Knapsack(prices, lengths, room)
         least = max(least, float(prices @ demand) / max(sack.dearest(), 1.0))
-        if float(cost @ use) <= least * (1 + GAP):
+        spent.append(float(cost @ use))
+        if spent[-1] <= least * (1 + GAP) or len(spent) > PATIENCE and spent[-1] > spent[-1 - PATIENCE] * (1 - GAP / 10):
             break
         offered = sack.patterns()
         costs = np.array([padded(x, room) for x in (offered @ lengths).astype(int).tolist()], float)
