@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from .functions import geo
+from .functions import geo, paths
 from .functions import intervals as I  # noqa: E741
-from .queries import C_LAT, C_LNG, coordinates, query, read
+from .operators import edges
+from .queries import C_LAT, C_LNG, LAT, LNG, coordinates, query, read
 
 _P = f"select c_custkey, radians({C_LAT}) as a, radians({C_LNG}) as b, (c_custkey % 11 * 0.1)::double as r from customer"
 _XYZ = f"select c_custkey, a, b, r, cos(a) * cos(b) as x, cos(a) * sin(b) as y, sin(a) as z from ({_P})"
@@ -158,3 +159,60 @@ def cell_shapes(spark, d):
     s = s.withColumn("area", geo.cell_area("cell")).withColumn("parts", sum((geo.cell_area(geo.child(F.col("cell"), k)) for k in range(1, 4)), geo.cell_area(geo.child(F.col("cell"), 0)))).withColumn("mid", geo.cell_center("cell"))
     back = geo.cell_id(F.degrees(F.asin("mid.z")), F.degrees(F.atan2("mid.y", "mid.x")))
     return s.withColumn("back", back).select("s_suppkey", ((F.abs(F.col("area") / F.col("parts") - 1) < 1e-6) & geo.contains(F.col("cell"), F.col("back"))).alias("same"), F.size(geo.cell_corners("cell")).alias("corners"))
+
+
+# Polylines, integrals, regions, crossings, wide numbers
+
+
+@query(f"""select c_custkey, 0.5::double as quarter, round(case when b between 0 and 2 then b / 2 when b < 0 or b > 1 + pi() then case when cos(b) > cos(b - 2) then 0.0 else 1.0 end else 1.0 end, 5) as part, z < 0 as right_side
+from ({_XYZ}) where a between -1.2 and 1.2 and abs(b) < 2.9 and abs(z) > 1e-9 and abs(b) > 1e-6 and abs(b - 2) > 1e-6 and b > -1""")
+def polyline_points(spark, d):
+    """A line along the equator from longitude 0 over 1 to 2 (radians): its quarter, the parts at which it is nearest to points, its right side."""
+    at = lambda lng: geo.point(F.lit(0.0), F.lit(math.degrees(lng)))
+    line = F.array(at(0.0), at(1.0), at(2.0))
+    p = _points(spark, d).where((F.col("a") >= -1.2) & (F.col("a") <= 1.2) & (F.abs("b") < 2.9) & (F.abs("p.z") > 1e-9) & (F.abs("b") > 1e-6) & (F.abs(F.col("b") - 2) > 1e-6) & (F.col("b") > -1))
+    q = paths.interpolate(line, F.lit(0.25))
+    return p.select("c_custkey", F.round(F.atan2(q["y"], q["x"]), 6).alias("quarter"), F.round(paths.uninterpolate(line, F.col("p")), 5).alias("part"), paths.is_right(line, F.col("p")).alias("right_side"))
+
+
+@query(f"""with p as (select s_suppkey, {LAT.format('s_suppkey')} as lat, {LNG.format('s_suppkey')} as lng from supplier) select s_suppkey, round(2 * radians(3.0) * (sin(radians(least(84.0, greatest(-84.0, lat)) + 3)) - sin(radians(least(84.0, greatest(-84.0, lat)) - 3))) / 1000, 6) as area,
+(case when s_suppkey % 7 = 0 then 30 else greatest(0, least(30, ceil(log2(1.459213746386106 / (0.001 * (s_suppkey % 7)))))) end)::integer as level from p""")
+def loop_integral(spark, d):
+    """Areas of squares of six degrees by a sum over triangles, to three digits those of rectangles; levels by length."""
+    s = coordinates(read(spark, d, "supplier"), "s_suppkey").withColumn("lat", F.greatest(F.lit(-84.0), F.least(F.lit(84.0), F.col("lat"))))
+    loop = F.array(*[geo.point(F.col("lat") + 3 * i, F.col("lng") + 3 * j) for i, j in ((-1, -1), (-1, 1), (1, 1), (1, -1))])
+    return s.select("s_suppkey", F.round(paths.surface_integral(loop, paths.signed_area) / 1000, 6).alias("area"), paths.min_level(F.col("s_suppkey") % 7 * 0.001, paths.AVG_EDGE).alias("level"))
+
+
+@query(f"select c_custkey from ({_XYZ}) where (x >= cos(0.8) or (a between 0.1 and 0.9 and b between 1.0 and 2.5)) and not y >= cos(0.4) and abs(x - cos(0.8)) > 1e-9 and abs(y - cos(0.4)) > 1e-9")
+def regions(spark, d):
+    """A cap or a rectangle, but not another cap."""
+    here = lambda lng: geo.point(F.lit(0.0), F.lit(lng))
+    box = I.rect(I.interval(0.1, 0.9), I.interval(1.0, 2.5))
+    region = (paths.cap_region(here(0.0), 0.8) | paths.rect_region(box)) & ~paths.cap_region(here(90.0), 0.4)
+    p = _points(spark, d).where((F.abs(F.col("p.x") - math.cos(0.8)) > 1e-9) & (F.abs(F.col("p.y") - math.cos(0.4)) > 1e-9))
+    return p.where(region.holds(F.col("p"))).select("c_custkey")
+
+
+_S = f"select s_suppkey as k, radians({LAT.format('s_suppkey')}) as a, radians({LNG.format('s_suppkey')}) as b from supplier"
+_ENDS = "cos(a) * cos(b) as ax, cos(a) * sin(b) as ay, sin(a) as az, cos(a + {0}) * cos(b + {1}) as bx, cos(a + {0}) * sin(b + {1}) as by_, sin(a + {0}) as bz"
+
+
+@query(f"""with s as ({_S}), l as (select k as l, {_ENDS.format(0.3, 0.2)} from s), r as (select k as r, cos(a) * cos(b) as cx, cos(a) * sin(b) as cy, sin(a) as cz, cos(a - 0.2) * cos(b + 0.4) as dx, cos(a - 0.2) * sin(b + 0.4) as dy, sin(a - 0.2) as dz from s),
+p as (select l, r, -((ay * bz - az * by_) * cx + (az * bx - ax * bz) * cy + (ax * by_ - ay * bx) * cz) as acb, -((cy * dz - cz * dy) * bx + (cz * dx - cx * dz) * by_ + (cx * dy - cy * dx) * bz) as cbd,
+((ay * bz - az * by_) * dx + (az * bx - ax * bz) * dy + (ax * by_ - ay * bx) * dz) as bda, ((cy * dz - cz * dy) * ax + (cz * dx - cx * dz) * ay + (cx * dy - cy * dx) * az) as dac from l, r)
+select l, r from p where l <> r and acb * cbd > 0 and acb * bda > 0 and acb * dac > 0""")
+def edge_crossing_join(spark, d):
+    """An edge from each supplier to the north-east and one to the south-east: those that cross."""
+    s = coordinates(read(spark, d, "supplier"), "s_suppkey")
+    at = lambda i, j: geo.point(F.col("lat") + math.degrees(i), F.col("lng") + math.degrees(j))
+    left, right = s.select(F.col("s_suppkey").alias("l"), at(0.0, 0.0).alias("a"), at(0.3, 0.2).alias("b")), s.select(F.col("s_suppkey").alias("r"), at(0.0, 0.0).alias("a"), at(-0.2, 0.4).alias("b"))
+    return edges.crossing_edges(left, right).where("l != r")
+
+
+@query("select o_orderkey, (o_orderkey::hugeint * 18446744073709551616::hugeint + o_custkey) % 1000000007 as rest, o_custkey as low, (o_orderkey::hugeint * 12345678901234567::hugeint + 5) % 1000000007 as product from orders")
+def wide_numbers(spark, d):
+    o = read(spark, d, "orders")
+    w = paths.wide(F.col("o_orderkey"), F.col("o_custkey"))
+    product = F.col("o_orderkey").cast("decimal(18,0)") * F.lit(12345678901234567).cast("decimal(18,0)") + 5
+    return o.select("o_orderkey", (w % 1000000007).alias("rest"), paths.wide_low(w).alias("low"), (product % 1000000007).alias("product"))
