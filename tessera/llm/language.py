@@ -23,6 +23,8 @@ HELD_BACK = 8
 #: A text is rejected beyond MARGIN times the excess (in deviations) that only the part FALSE of the calibrating texts of its language has; that
 #: excess counts as FLOOR at least, since few texts don't show how far good ones may lie.
 FALSE, MARGIN, FLOOR = 0.001, 1.5, 4.0
+#: Texts of all languages that the spread of one language is told by, beside its own; its limit is wider by the root of 1 plus their share.
+SHARED = 20
 #: How sharply the score tells languages apart: probabilities are the softmax of -SHARP times the cross-entropy a character, in nats.
 SHARP = 12.0
 #: Words that a task remembers before it starts anew.
@@ -297,10 +299,17 @@ class Scorer:
 
 
 class Limits:
-    """Calibrated rejection by language: the excess over the mean cross-entropy, in deviations for a text of its length, and the most there may be."""
+    """Calibrated rejection by language: the excess over the mean cross-entropy, in deviations for a text of its length, and the most there may be.
+
+    Variances of a language count with those of all, as if SHARED of its texts had them; a language without calibrating texts has the highest mean
+    and limit of the others."""
 
     def __init__(self, rows: list):
-        self.by = {r.lang: (r.mean, max(r.fixed or 0.0, 1e-4), max(r.by_length or 0.0, 0.0)) for r in rows}
+        whole = sum(r.n for r in rows)
+        pooled = [sum(r.n * max(r[k] or 0.0, 0.0) for r in rows) / max(whole, 1) for k in ("fixed", "by_length")]
+        self.by = {r.lang: (r.mean, *(max((r.n * max(r[k] or 0.0, 0.0) + SHARED * x) / (r.n + SHARED), 1e-4 * (k == "fixed")) for k, x in zip(("fixed", "by_length"), pooled))) for r in rows}
+        if self.by:
+            self.by[UNKNOWN] = tuple(map(max, zip(*self.by.values())))
         self.most: dict[str, float] = {}
 
     def excess(self, lang: str, cross: float, letters: float) -> float:
@@ -308,8 +317,9 @@ class Limits:
         return (cross - mean) / (fixed + by_length / letters) ** 0.5
 
     def rejects(self, lang: str, cross: float | None, letters: float) -> bool:
-        """No letter, or further off than calibrating texts of the language are; a language without such texts rejects none."""
-        return cross is None or lang in self.most and self.excess(lang, cross, letters) > self.most[lang]
+        """No letter, or further off than calibrating texts of the language are; without any calibrating text none is."""
+        own = lang if lang in self.most else UNKNOWN
+        return cross is None or own in self.most and self.excess(own, cross, letters) > self.most[own]
 
 
 def held_back(doc_id) -> F.Column:
@@ -333,12 +343,14 @@ def calibrated(docs: DataFrame) -> tuple[Models, Limits]:
     rows = cut(rows.where("cross is not null"))
     means = rows.groupBy("lang").agg(F.avg("cross").alias("mean"))  # one row a language, here and below
     square = F.pow(F.col("cross") - F.col("mean"), 2)
-    spread = rows.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.regr_intercept(square, 1 / F.col("letters")).alias("fixed"), F.regr_slope(square, 1 / F.col("letters")).alias("by_length"), F.avg(square).alias("whole"))
-    limits = Limits(spread.select("lang", "mean", F.when(F.col("fixed") > 0, F.col("fixed")).otherwise(F.col("whole")).alias("fixed"), "by_length").collect())
+    spread = rows.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.regr_intercept(square, 1 / F.col("letters")).alias("fixed"), F.regr_slope(square, 1 / F.col("letters")).alias("by_length"), F.avg(square).alias("whole"), F.count("*").alias("n"))
+    limits = Limits(spread.select("lang", "mean", F.when(F.col("fixed") > 0, F.col("fixed")).otherwise(F.col("whole")).alias("fixed"), "by_length", "n").collect())
     if limits.by:
         value = F.create_map(*[x for lang, v in limits.by.items() for x in (F.lit(lang), F.struct(*[F.lit(y) for y in v]))])[F.col("lang")]
         far = (F.col("cross") - value["col1"]) / F.sqrt(value["col2"] + value["col3"] / F.col("letters"))
-        limits.most = {r.lang: MARGIN * max(r.most, FLOOR) for r in rows.groupBy("lang").agg(F.percentile_approx(far, F.lit(1 - FALSE), F.lit(100_000)).alias("most")).collect()}
+        found = rows.groupBy("lang").agg(F.percentile_approx(far, F.lit(1 - FALSE), F.lit(100_000)).alias("most"), F.count("*").alias("n")).collect()
+        limits.most = {r.lang: MARGIN * max(r.most, FLOOR) * (1 + SHARED / r.n) ** 0.5 for r in found}
+        limits.most[UNKNOWN] = max(limits.most.values())
     return models, limits
 
 

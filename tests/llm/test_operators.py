@@ -321,19 +321,23 @@ def plain_kneser_ney(rows, langs):
         for n in (3, 2, 1):
             tables[n] = Counter(g[1:] for g in tables[n + 1])
 
-        def p(gram, tables=tables):
-            if not gram:
-                return 1.0 / size
-            own = [(g, n) for g, n in tables[len(gram)].items() if g[:-1] == gram[:-1]]
-            total = sum(n for _, n in own)
-            if not total:
-                return p(gram[1:])
-            return max(tables[len(gram)][gram] - 0.75, 0) / total + 0.75 * len(own) / total * p(gram[1:])
-
-        out[lang] = p
+        out[lang] = plain_p(tables, size)
     return out
 
 
+def plain_p(tables, size):
+    def p(gram):
+        if not gram:
+            return 1.0 / size
+        own = [(g, n) for g, n in tables[len(gram)].items() if g[:-1] == gram[:-1]]
+        total = sum(n for _, n in own)
+        if not total:
+            return p(gram[1:])
+        return max(tables[len(gram)][gram] - 0.75, 0) / total + 0.75 * len(own) / total * p(gram[1:])
+
+    return p
+
+
 def test_cross_entropy_by_brute_force(spark):
     """Sums of log-probabilities of words equal those of a recursion over plain counts, for seen and unseen words; over all characters they sum to 1."""
     own = [("the cat sat on the mat, that is the cat's", "en"), ("then they thought of these things", "en"), ("le chat est sur la table et l'été", "fr"), ("der Hund läuft über die Straße", "de"), ("das ist 1 Haus_und 2 Häuser", "de")]
@@ -605,7 +609,7 @@ def test_features_by_brute_force():
 
 def test_repeated_ids_keep_the_bound(spark):
     """Of many rows with one labelled id one is learned from; columns may have any name; clean rows stay as they are."""
-    rows = [(k % 40, f"you idiot number {k}, moron" if k % 40 < 20 else f"what a fine day number {k}", k, float(k)) for k in range(400)] + [(None, "what a fine day", 0, None), (1000, None, 1, None), (1001, "", 1, 1.0)]
+    rows = [(k % 40, f"you idiot number {k:03d}, moron now" if k % 40 < 20 else f"what a fine day number {k:03d}", k, float(k)) for k in range(400)] + [(None, "what a fine day number 007", 0, None), (1000, None, 1, None), (1001, "", 1, 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score long, __score double")
     labels = spark.createDataFrame([(k, int(k < 20)) for k in range(40)], "doc_id long, toxic int")
     kept = toxicity.keep_clean(df, labels)

@@ -75,14 +75,15 @@ def test_toxicity(spark, planted):
     from tessera.llm import toxicity
 
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    bad = {x.doc_id for x in toxicity.toxicity(planted.where("doc_id is not null"), labels).collect() if x.predicted}
-    kept = [tuple(x) for x in STAGE["toxicity"](spark, planted, SF).collect()]
-    want = [tuple(x) for x in planted.collect() if x.doc_id not in bad]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(planted.where("doc_id is null or doc_id >= 1000000"))
+    bad = {x.doc_id for x in toxicity.toxicity(docs, labels).collect() if x.predicted}
+    kept = [tuple(x) for x in STAGE["toxicity"](spark, docs, SF).collect() if x.doc_id is not None]
+    want = [tuple(x) for x in docs.collect() if x.doc_id is not None and x.doc_id not in bad]
     assert bad and sorted(map(str, kept)) == sorted(map(str, want))
 
 
 def test_language(spark, planted):
-    strange = [(3 * 10**6 + k, t, "en", "s", 1) for k, t in enumerate(["日本語 の テキスト です " * 20, "1234 5678 !!", "qzxj wvkq zzxq jjqk " * 40])]
+    strange = [(3 * 10**6 + k, t, None, "s", 1) for k, t in enumerate(["日本語 の テキスト です " * 20, "1234 5678 !!", "qzxj wvkq zzxq jjqk " * 40])]
     kept = {x.doc_id for x in STAGE["language_id"](spark, planted.unionByName(spark.createDataFrame(strange, FIELDS)), SF).collect()}
     assert not kept & {3 * 10**6, 3 * 10**6 + 1, 3 * 10**6 + 2, 2 * 10**6, 2 * 10**6 + 1}
     known = {x.doc_id for x in planted.collect() if x.text}
