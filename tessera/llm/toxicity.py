@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, learning_rows
+from .common import Memory, cut, held_out, learning_rows
 
 #: Insults that count from the start.
 SEED = "idiot moron stupid dumb loser scum trash garbage pathetic worthless disgusting clown fool imbecile retard bastard bitch asshole dickhead jerk freak creep pig vermin filth cretin dimwit halfwit numbskull bonehead wanker twat prick cunt slut whore shit crap bullshit fuck fucking fucker damn ugly hate kill die".split()
 #: Words of the second person in some languages.
 YOU = "you your yours yourself u ur du dich dir dein deine ihr euch tu te ti tú tus usted ustedes vosotros toi ton ta tes vous votre vos".split()
-#: Labelled rows that a model is fitted on at most, least hash of the id first; terms that are learned from them at most.
-SAMPLE, TERMS = 20_000, 3_000
+#: Labelled rows that a model is fitted on at most, least hash of the id first.
+SAMPLE = 20_000
 #: A term is learned if so many toxic texts have it and it is so much more frequent in them.
 LEAST, RATIO = 4, 20.0
 #: Score from which a text is called toxic.
@@ -27,7 +27,6 @@ TOXIC = 0.3
 LEET = str.maketrans("013457@$!|+", "oieastasiit")
 PREFIXES = (4, 5, 6)
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
-REMEMBERED = 300_000
 
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!", b"?", b"#$%&*@|<>~^_+=\\/", b"0123456789", b".,;:'\"()-"), 1):
@@ -44,11 +43,14 @@ def terms(word: str) -> list[str]:
 
 
 class Features:
-    """Dense features of a text, given the learned terms."""
+    """Dense features of a text, given the learned terms. What is remembered of tokens isn't sent along."""
 
     def __init__(self, learned: list[str]):
         self.learned, self.seed, self.you = frozenset(learned), frozenset(SEED), frozenset(YOU)
-        self.seen: dict[str, int] = {}
+        self.seen = Memory(self.kind)
+
+    def __reduce__(self):
+        return Features, (sorted(self.learned),)
 
     def kind(self, token: str) -> int:
         """Bits: 1 seed insult, 2 learned term, 4 second person, 8 disguised insult, 16 mixed letters and signs, 32 stretched letters."""
@@ -65,15 +67,7 @@ class Features:
 
     def __call__(self, text: str | None) -> list[float]:
         tokens = (text or "").split()
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        seen = self.seen
-        try:
-            kinds = list(map(seen.__getitem__, tokens))
-        except KeyError:
-            for t in set(tokens).difference(seen):
-                seen[t] = self.kind(t)
-            kinds = list(map(seen.__getitem__, tokens))
+        kinds = list(map(self.seen.__getitem__, tokens))
         n = max(len(tokens), 1)
         bits = np.array(kinds, np.int64)
         hit = np.flatnonzero(bits & 11)
@@ -184,7 +178,10 @@ class Model:
         x = np.array([self.features(t) for t in texts], float).reshape(len(texts), -1)
         if not len(x):
             return np.zeros(0)
-        return np.interp(self.trees.margin(x), *self.points) if self.trees else 1 - np.exp(-50 * x[:, 0])
+        if not self.trees:
+            return 1 - np.exp(-50 * x[:, 0])
+        wordless = x[:, -1] == 0  # they have the least score there is
+        return np.where(wordless, self.points[1][0], np.interp(self.trees.margin(x), *self.points))
 
 
 def _counted(batches):
@@ -202,12 +199,14 @@ def _counted(batches):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on SAMPLE labelled rows at most (ids with least hash, so the same ones for the same ids), of those that may be learned from.
 
-    The sample's ids have that bound, so they are broadcast and no text is shuffled. Labels other than 0 and 1, null ids and null labels are left out; of
-    several labels for an id the largest counts.
+    The sample's ids have that bound, so they are broadcast; of several rows with one of them the least text counts, so the bound holds for texts
+    too. Labels other than 0 and 1, null ids and null labels are left out; of several labels for an id the largest counts.
     """
     known = labels.where(learning_rows(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3))).cast("int").alias("fold")))
+    fold = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3)).cast("int").alias("fold")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = cut(found.select("text", "toxic", fold))
     totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     learned: list[str] = []
     if len(totals) == 2:
@@ -215,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         shown = {r.toxic: r["count"] for r in rows.where("fold != 0").groupBy("toxic").count().collect()}
         counts = rows.where("fold != 0").select("text", "toxic").mapInArrow(_counted, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
         rate = ((F.col("t") + 0.5) / (shown.get(1, 0) + 1)) / ((F.col("n") + 0.5) / (shown.get(0, 0) + 1))
-        learned = [r.term for r in counts.where((F.col("t") >= LEAST) & (rate >= RATIO)).orderBy(F.desc("t"), "term").limit(TERMS).collect()]
+        # each has been seen in LEAST of the sample's texts, so they are bounded with it
+        learned = [r.term for r in counts.where((F.col("t") >= LEAST) & (rate >= RATIO)).collect()]
     maker = Features(learned)
 
     def made(batches):
@@ -227,29 +227,41 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(learned, sorted((r.x, r.toxic, r.fold) for r in found))
 
 
-def score(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """docs' columns (doc_id if none are named) with score, 0 to 1. Null and empty texts have no insults and get the score of that."""
-    names = list(columns or ("doc_id",))
-    at = len(names)
+def scores(texts: pa.Array, model: Model) -> np.ndarray:
+    """Score of each text, a bounded number of texts at a time."""
+    found = [model.scores(texts.slice(k, 1000).to_pylist()) for k in range(0, len(texts), 1000)]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, held_out, score, predicted (1 from TOXIC on).
+
+    score: 0 to 1; null, empty and blank texts have no insults and get the least score of all. Texts are read whole, however long. Null ids are in no
+    fold. Repeated rows: one row each, with one score. Empty tables: no rows, or scores by the seed insults where no labels of both kinds are.
+    Other columns are ignored, whatever their names.
+    """
+    model = fit(docs, labels)
 
     def scored(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(model.scores(b.column(at).to_pylist()))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1), model))], ["doc_id", "score"])
+        model.features.seen.forget()
 
-    given = docs.select(*names, F.col("text").alias("__text"))
-    schema = given.drop("__text").schema.add("score", "double")
-    return given.mapInArrow(scored, schema)
+    found = docs.select("doc_id", "text").mapInArrow(scored, docs.select("doc_id").schema.add("score", "double"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, held_out, score, predicted (1 from TOXIC on).
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that are called toxic; columns as before, whatever their names, and rows as they were.
 
-    Null ids are in no fold. Repeated rows: one row each. Empty tables: no rows, or scores by the seed insults where no labels are. Other
-    columns are ignored.
+    Null and empty texts stay, as they have no insults; so do rows without an id, by their text. Repeated rows stay or go together. Empty table: no rows.
     """
-    return score(docs, fit(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+    model = fit(docs, labels)
+    at = docs.columns.index("text")
 
+    def clean(batches):
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(at), model) < TOXIC))
+        model.features.seen.forget()
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that are called toxic; columns as before."""
-    return score(docs, fit(docs, labels), *docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
+    return docs.mapInArrow(clean, docs.schema)
