@@ -111,11 +111,11 @@ class Deal:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(unit, len(rows))), pa.array(np.repeat(side.astype(np.int8), len(rows))), pa.array(np.tile(rows, len(unit)))], ["unit", "side", "fp"])
 
 
-def linked(a: np.ndarray, b: np.ndarray, same: bool, budget: int):
+def linked(a: np.ndarray, b: np.ndarray, same: bool, budget: int, most: int = FRONT, outright: int = 1 << 21):
     """Traverses the tries of two sorted arrays together; yields arrays of index pairs whose values differ in `budget` bits or fewer.
 
     A front holds pairs of nodes, each a range of its array, with the bits they differ in so far. One level down, each pair gives up to
-    four pairs of children; those over the budget are pruned.
+    four pairs of children; those over the budget are pruned. A front has `most` pairs of nodes, `outright` pairs of values are compared at a time.
     """
     ones = {}
 
@@ -128,7 +128,7 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, budget: int):
     stack = [(0, start)]
     while stack:
         depth, front = stack.pop()
-        if front.shape[1] > FRONT:
+        if front.shape[1] > most:
             half = front.shape[1] // 2
             stack += [(depth, front[:, half:]), (depth, front[:, :half])]
             continue
@@ -136,9 +136,9 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, budget: int):
         direct = ((ah - al) * (bh - bl) <= OUTRIGHT) | (depth == 64)
         if direct.any():
             x0, nx, y0, ny = al[direct], (ah - al)[direct], bl[direct], (bh - bl)[direct]
-            most = nx * ny
-            for lo, hi in blocks(most, 1 << 21):
-                m = most[lo:hi]
+            total = nx * ny
+            for lo, hi in blocks(total, outright):
+                m = total[lo:hi]
                 k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 wide = np.repeat(ny[lo:hi], m)
                 i, j = np.repeat(x0[lo:hi], m) + k // wide, np.repeat(y0[lo:hi], m) + k % wide

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -66,3 +67,54 @@ def test_rows_without_an_id(spark, keep_one):
     got = [tuple(x) for x in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(t for _, t in got) == sorted([*own, rows[-1][1]])
     assert {k: t for k, t in got if k is not None} == {5: own[1], 3: own[2], 9: rows[-1][1]}
+
+
+def test_fingerprints_and_tries():
+    """Fingerprints are the bits that over half the shingles' hashes have; the join by tries reaches what all pairs within the budgets reach."""
+    own = shingles.shingles(" ".join(words_of(random.Random(14), 900)).encode())
+    whole = shingles.prints(own, 5).view(np.uint8)
+    single = np.stack([np.unpackbits(shingles.prints(own[k : k + 1], 5).view(np.uint8)) for k in range(len(own))])
+    assert (np.unpackbits(whole) == (2 * single.sum(0) > len(own))).all()
+    for seed, spread in ((0, 4), (1, 4), (2, 60), (3, 1)):
+        r, n = np.random.default_rng(seed), 500
+        noise = np.packbits(r.random((n, 64 * shingles.CONFIRM)) < 0.14, axis=1).view(np.uint64)
+        checks = r.integers(0, 1 << 63, (12, shingles.CONFIRM), np.uint64)[r.integers(0, 12, n)] ^ noise
+        fp = r.integers(0, 1 << shingles.BITS, spread)[r.integers(0, spread, n)]
+        for b in range(shingles.BITS):
+            fp ^= (r.random(n) < 0.06).astype(np.int64) << b
+        got = shingles.met(fp.astype(np.int32), checks)
+        close = (np.bitwise_count(fp[:, None] ^ fp) <= shingles.BUDGET) & (np.bitwise_count(checks[:, None] ^ checks).sum(2, dtype=np.int64) <= shingles.WITHIN)
+        want = np.arange(n)
+        while True:
+            down = np.where(close, want, n).min(1)
+            if (down == want).all():
+                break
+            want = down
+        assert len(set(zip(got.tolist(), want.tolist()))) == len(set(got.tolist())) == len(set(want.tolist())) < n
+
+
+def test_candidates_come_from_tries(spark):
+    """Pairs of similarity 0.8 whose fingerprints all differ are candidates too, as far as some fingerprint is within the budget of bits."""
+    r, rows, times = random.Random(15), [], 19
+    for k in range(120):
+        base = words_of(r, 300)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(changed(r, base, 6)))]
+    made = {k: shingles.prints(shingles.shingles(t.encode()), shingles.CONFIRM + (times + 1) // 2) for k, t in rows}
+    own = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in made.items()], "key long, prints binary")
+    got = {(min(x.u, x.v), max(x.u, x.v)) for x in shingles.candidates(own, 0, times).collect()}
+    tops = {k: x[shingles.CONFIRM :].view(np.uint32)[:times] >> np.uint32(32 - shingles.BITS) for k, x in made.items()}
+    assert got == {(k, k + 1) for k in range(0, 240, 2)}
+    assert any((tops[k] != tops[k + 1]).all() for k in range(0, 240, 2))
+
+
+def test_recall_of_short_texts(spark):
+    """Texts of 8 to 14 words and of more, at a similarity of 0.8 and a little more, against all pairs compared."""
+    r, rows, want = random.Random(16), [], set()
+    for k in range(300):
+        base = words_of(r, 8 + k % 7 if k % 2 else r.randint(15, 60))
+        copy = base + words_of(r, max(1, (len(base) - 4) // 4))
+        assert jaccard(" ".join(base), " ".join(copy)) >= 0.8
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want.add(2 * k)
+    got = {x.doc_id for x in shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got and len(got - want) <= 0.01 * len(want)
