@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -118,3 +119,20 @@ def test_recall_of_short_texts(spark):
         want.add(2 * k)
     got = {x.doc_id for x in shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert want <= got and len(got - want) <= 0.01 * len(want)
+
+
+def test_memory_of_a_unit():
+    """The join of a unit of the size that plan() aims at takes a small part of its worker's memory."""
+    r, n = np.random.default_rng(17), 1 << shingles.UNIT_BITS
+    checks = r.integers(0, 1 << 63, (n, shingles.CONFIRM), np.uint64)
+    checks[1::2] = checks[::2]
+    fp = r.integers(0, 1 << shingles.BITS, n).astype(np.int32)
+    fp[1::2] = fp[::2] ^ 5
+    tracemalloc.start()
+    try:
+        root = shingles.met(fp, checks)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (root[::2] == root[1::2]).all() and len(set(root.tolist())) == n // 2
+    assert peak < 80 << 20
