@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from .common import Memory, file_digest, folder, hf_tokenizer, shared_dir, tokenizer_path, written
+from .common import file_digest, folder, hf_tokenizer, released, shared_dir, tokenizer_path, written
 
 #: The vocabulary by default.
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,37 +45,19 @@ def rank_table(vocabulary: str) -> tuple[dict[bytes, int], dict[str, int]] | Non
 
 
 class WordIds:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
-
-    A single space between two visible characters always begins a token of its own word, so words are encoded once and remembered. Texts in
-    which a space touches other white space are encoded whole. The ids are those of the `tokenizers` library for the vocabulary.
-    """
+    """Ids of whole texts as little-endian unsigned 32-bit bytes: those of the `tokenizers` library for the vocabulary."""
 
     def __init__(self, table: dict[bytes, int], special: dict[str, int]):
         import public_tokenizers
         import tiktoken
 
         self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
-        self.words = Memory(lambda w: None if not w or w[0].isspace() or w[-1].isspace() else self.encode(" " + w))
-
-    def forget(self) -> None:
-        self.words.forget()
-
-    def encode(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = text.split(" ")
-        if not rest:
-            return self.encode(text)
-        if not head or head[-1].isspace():
-            return self.encode(text)
-        try:
-            return self.encode(head) + b"".join(map(self.words.__getitem__, rest))
-        except TypeError:  # a space beside other white space
-            return self.encode(text)
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
+
+    def forget(self) -> None:
+        released()
 
 
 class LibraryIds:

@@ -699,3 +699,21 @@ def test_price_is_the_best_pattern():
     sack = packing.Knapsack(value, lengths, 32)
     assert sack.best[sack.at[32]] == pytest.approx(max(np.dot(c, value) for c in every))
     assert all(tuple(c) in every and c[k] >= 1 for k, c in enumerate(sack.patterns()[:4].astype(int).tolist()))
+
+
+def test_texts_are_encoded_by_one_call(spark):
+    """op10's ids are those of the library, by one call of the encoder a text; texts of many different words cost no call a word."""
+    ids, library, calls = tokens.WordIds(*tokens.rank_table("byte_bpe_50k.json")), hf_tokenizer("byte_bpe_50k.json"), []
+    own = ids.encoding
+
+    class Counted:
+        def encode_to_numpy(self, text, **how):
+            calls.append(text)
+            return own.encode_to_numpy(text, **how)
+
+    ids.encoding = Counted()
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(300).collect() if x.text]
+    texts += ["a  b\n\n c\x0bd e \x1f f", " lead and trail ", "<|endoftext|> in <|endoftext|>", "x" * 5000, "日本語 😀 é ▁"]
+    for t in texts:
+        assert np.frombuffer(ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert calls == texts
