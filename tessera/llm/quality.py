@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
+import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, released, slices
-from .pieces import pieces
+from .common import as_bytes, cut, released, tokenizer_path
+from .pieces import MODEL
 
 #: Base rule: words at least, and the share of repeated words in percent at most.
 WORDS, REPEATED = 10, 20
@@ -20,22 +21,25 @@ STEPS = {"fertility": 0.02, "low": 0.002, "entropy": 0.02}
 REACH, LEAST = 4.0, {"fertility": 0.12, "low": 0.02, "entropy": 0.25}
 #: What short texts may lie further off, divided by the root of the number of words.
 SHORT = {"fertility": 1.0, "low": 0.1, "entropy": 0.5}
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_BLANK = " \t\n\x0b\x0c\r"
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
+_BLANK = b" \t\n\x0b\x0c\r"
+_SYMBOLS = b"#*$%&|<>"
 
 
-def repeated_words(words: list[str]) -> int:
+def repeated_words(words: list) -> int:
     """Words in 5-word windows that are found twice or more in the text, the first included."""
     n = len(words) - 4
     if n < 2:
         return 0
-    ids: dict[str, int] = {}
-    w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.int64, len(words))
+    ids = {x: k for k, x in enumerate(dict.fromkeys(words))}
+    w = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
     k = len(ids) + 1
-    key = w[:n]
+    more = np.bincount(w)[w] > 1  # a window can only be found again if each of its words is
+    start = np.flatnonzero(more[:n] & more[1 : n + 1] & more[2 : n + 2] & more[3 : n + 3] & more[4:])
+    if len(start) < 2:
+        return 0
+    key = w[start]
     for j in range(1, 5):  # numbers stay small: after two words they are dealt anew
-        key = key * k + w[j : n + j]
+        key = key * k + w[start + j]
         if j in (2, 3) or k > 1 << 20:
             key = np.unique(key, return_inverse=True)[1]
             # distinct keys are fewer than the words, so the next product fits 64 bits
@@ -44,40 +48,49 @@ def repeated_words(words: list[str]) -> int:
     if not twice.any():
         return 0
     marks = np.zeros(len(words) + 1, np.int64)
-    marks[:n] += twice
-    marks[5 : n + 5] -= twice
+    marks[start[twice]] = 1
+    marks[start[twice] + 5] -= 1
     return int((np.cumsum(marks)[:-1] > 0).sum())
 
 
-def counts(text: str) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = _WORD.findall(text)
+def counts(text: bytes, chars: int) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text in UTF-8 and its number of characters."""
+    words = text.split()  # bytes are split at the six blanks, and at nothing else
     seen, twice = set(), 0
-    for line in text.split("\n"):
+    for line in text.split(b"\n"):
         if line in seen:
             twice += 1
-        elif line.strip(_BLANK):
+        elif line.strip():
             seen.add(line)
-    return len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), twice, repeated_words(words)
+    blanks, symbols = (len(text) - len(text.translate(None, x)) for x in (_BLANK, _SYMBOLS))
+    return len(words), chars - blanks, symbols, twice, repeated_words(words)
+
+
+@functools.lru_cache(maxsize=2)
+def library(model: str = MODEL):
+    """The vocabulary's own library, and which of its ids are byte pieces."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(model))
+    return own, np.array([own.is_byte(i) for i in range(own.get_piece_size())])
 
 
 def _measured(batches):
-    own = pieces()
+    own, byte = library()
     for batch in batches:
-        texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
+        column = batch.column(batch.num_columns - 1)
         columns = [[] for _ in range(8)]
-        for lo, hi in slices([len(x) for x in texts], 4_000_000):
-            for text, words in zip(texts[lo:hi], own.encode_words(texts[lo:hi])):
-                ids = np.frombuffer(b"".join([w[0] for w in words]), "<u4")
-                n = len(ids)
-                _, times = np.unique(ids, return_counts=True)
-                bits = float(-(times / n * np.log2(times / n)).sum() / np.log2(n)) if n > 1 else 0.0
-                row = (*counts(text), len(text) / n if n else 0.0, sum([w[2] for w in words]) / n if n else 0.0, bits)
-                for c, v in zip(columns, row):
-                    c.append(v)
+        for text, chars in zip(as_bytes(column), pc.utf8_length(column).to_pylist()):
+            text, chars = text or b"", chars or 0
+            ids = own.encode(text, out_type="numpy")
+            n = len(ids)
+            _, times = np.unique(ids, return_counts=True)
+            bits = float(-(times / n * np.log2(times / n)).sum() / np.log2(n)) if n > 1 else 0.0
+            row = (*counts(text, chars), chars / n if n else 0.0, int(np.count_nonzero(byte[ids])) / n if n else 0.0, bits)
+            for c, v in zip(columns, row):
+                c.append(v)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64() if k < 5 else pa.float64()) for k, c in enumerate(columns))],
                                          [*batch.schema.names[:-1], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fertility", "low", "entropy"])
-    own.forget()
     released()
 
 
