@@ -136,3 +136,15 @@ def test_memory_of_a_unit():
         tracemalloc.stop()
     assert (root[::2] == root[1::2]).all() and len(set(root.tolist())) == n // 2
     assert peak < 80 << 20
+
+
+def test_rows_are_found_again_without_shingles(spark):
+    """Rows that stay, also ones that share an id or have none, are found by the digest of their text, so that texts go to Python no second time."""
+    r = random.Random(18)
+    base = [words_of(r, 80) for _ in range(40)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)] + [(100 + k, " ".join(changed(r, base[0], 1))) for k in range(5)] + [(200 + k, " ".join(base[1])) for k in range(5)]
+    rows += [(7, " ".join(base[1])), (None, " ".join(base[2]).upper()), (3, " ".join(base[3]))]
+    kept = shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == sorted(rows[:40])
+    plan = kept._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
