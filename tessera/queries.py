@@ -449,7 +449,8 @@ def human_bytes(spark, d):
 round(case when s < 60 then s when s < 3600 then s / 60.0 when s < 86400 then s / 3600.0 when s < 2592000 then s / 86400.0 else s / (30.436875 * 86400) end, 6) as amount from (select o_orderkey, o_orderkey * 61.0::double as s from orders where o_orderkey < 500000)""")
 def human_elapsed(spark, d):
     u = N.human_elapsed_unit(F.col("o_orderkey") * F.lit(61.0))
-    return read(spark, d, "orders").select("o_orderkey", u["unit"].alias("unit"), F.round(u["amount"], 6).alias("amount"))
+    # rounded by its binary value, as SQL does; F.round takes the shortest decimals and so finds halves that aren't there
+    return read(spark, d, "orders").select("o_orderkey", u["unit"].alias("unit"), (F.floor(u["amount"] * 1e6 + 0.5) / 1e6).alias("amount"))
 
 
 @query("select o_orderkey, case when b >> 30 > 1 then (b >> 30) || 'G' when b >> 20 > 1 then (b >> 20) || 'M' when b >> 10 > 1 then (b >> 10) || 'K' else b || '' end as short from (select o_orderkey, o_orderkey * 1001 as b from orders)")

@@ -18,6 +18,13 @@ def test_human_elapsed_of_late_orders(spark, tmp_path):
     assert got[600_000] == ("years", pytest.approx(600_000 * 61 / (365.2425 * 86400), abs=1e-6))
 
 
+def test_human_elapsed_rounds_as_its_sql(spark, tmp_path):
+    """Amounts just under a half of the last digit go down."""
+    spark.createDataFrame([(k,) for k in (1, 1485, 2889, 2943, 11_421)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.amount for r in QUERIES["human_elapsed"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1.016667, 1485: 1.048437, 2889: 2.039687, 2943: 2.077812, 11_421: 8.063437}
+
+
 def test_squares_of_all_suppliers(spark, tmp_path):
     """Also beside and at the poles: the frame has its area, its hole isn't in it."""
     n = 3000
