@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -139,17 +140,23 @@ def unzigzag(c: Column) -> Column:
     return F.shiftrightunsigned(c, 1).bitwiseXOR(-(c.bitwiseAND(F.lit(1).cast("long"))))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f names it; a plain expression is computed anew at each place, and for each element in a lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(let(a, lambda v: dot(v, v)))
 
 
 def cross(a: Column, b: Column) -> Column:
     x = lambda v, i: v[i].cast("double")
-    return F.array(x(a, 1) * x(b, 2) - x(a, 2) * x(b, 1), x(a, 2) * x(b, 0) - x(a, 0) * x(b, 2), x(a, 0) * x(b, 1) - x(a, 1) * x(b, 0))
+    of = lambda a, b: F.array(x(a, 1) * x(b, 2) - x(a, 2) * x(b, 1), x(a, 2) * x(b, 0) - x(a, 0) * x(b, 2), x(a, 0) * x(b, 1) - x(a, 1) * x(b, 0))
+    return let(a, lambda v: let(b, lambda w: of(v, w)))
 
 
 def det3(m: Column) -> Column:
@@ -400,26 +407,23 @@ def vector_map(a: Column, b: Column, f) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 def vector_angle(a: Column, b: Column) -> Column:
     """Angle between vectors of three components."""
-    return F.atan2(norm(cross(a, b)), dot(a, b))
+    return let(a, lambda v: let(b, lambda w: F.atan2(norm(cross(v, w)), dot(v, w))))
 
 
 def largest_component(a: Column) -> Column:
     """Place of the component with the greatest size, the first of equals."""
-    sizes = F.transform(a, lambda x: F.abs(x.cast("double")))
-    return F.array_position(sizes, F.array_max(sizes)).cast("int") - 1
+    return let(F.transform(a, lambda x: F.abs(x.cast("double"))), lambda sizes: F.array_position(sizes, F.array_max(sizes)).cast("int") - 1)
 
 
 def ortho(a: Column) -> Column:
     """A unit vector at right angles to one of three components."""
-    k = F.when(largest_component(a) == 0, 2).otherwise(largest_component(a) - 1)
-    unit = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.when(i == k, 1.0).otherwise(0.0))
-    return normalized(cross(a, unit))
+    unit = lambda k: F.array(*[F.when(k == i, 1.0).otherwise(0.0) for i in (1, 2, 0)])
+    return let(a, lambda v: normalized(cross(v, let(largest_component(v), unit))))
 
 
 def transposed(m: Column) -> Column:

@@ -242,8 +242,8 @@ select c_custkey, round(v[1] / n, 9) as first, round(acos(v[1] / n), 7) as angle
 def vector_shapes(spark, d):
     v = _vector()
     ex = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))
-    o = N.ortho(v)
-    return read(spark, d, "customer").select("c_custkey", F.round(N.normalized(v)[0], 9).alias("first"), F.round(N.vector_angle(v, ex), 7).alias("angle"), N.largest_component(v).alias("largest"), ((F.abs(N.dot(o, v)) < 1e-12) & (F.abs(N.norm(o) - 1) < 1e-12)).alias("square"))
+    square = N.let(N.ortho(v), lambda o: (F.abs(N.dot(o, v)) < 1e-12) & (F.abs(N.norm(o) - 1) < 1e-12))
+    return read(spark, d, "customer").select("c_custkey", F.round(N.normalized(v)[0], 9).alias("first"), F.round(N.vector_angle(v, ex), 7).alias("angle"), N.largest_component(v).alias("largest"), square.alias("square"))
 
 
 @query(f"""with v as (select c_custkey, {_V} as v from customer)
