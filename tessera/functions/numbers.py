@@ -289,10 +289,10 @@ def almost_equal(a: Column, b: Column) -> Column:
 
 def shards_to_read(written: Column, inputs: int) -> Column:
     """For booleans by output shard whether each of `inputs` input shards can have a record for one of them: their numbers are equal modulo the gcd."""
-    common = lambda m: F.aggregate(F.sequence(F.lit(1), F.lit(inputs)), F.lit(1), lambda s, k: F.when((F.lit(inputs) % k == 0) & (m % k == 0), k).otherwise(s))
-    g = common(F.size(written))
-    marked = F.transform(written, lambda w, m: F.when(w, m % g))
-    return F.transform(F.sequence(F.lit(0), F.lit(inputs - 1)), lambda n: F.exists(marked, lambda m: F.coalesce(m == n % g, F.lit(False))))
+    common = lambda size: let(size, lambda m: F.aggregate(F.sequence(F.lit(1), F.lit(inputs)), F.lit(1), lambda s, k: F.when((F.lit(inputs) % k == 0) & (m % k == 0), k).otherwise(s)))
+    marked = lambda own, g: F.transform(own, lambda w, m: F.when(w, m % g))
+    read = lambda held, g: F.transform(F.sequence(F.lit(0), F.lit(inputs - 1)), lambda n: let(n % g, lambda k: F.exists(held, lambda m: F.coalesce(m == k, F.lit(False)))))
+    return let(written, lambda own: let(common(F.size(own)), lambda g: let(marked(own, g), lambda held: read(held, g))))
 
 
 def _si(value: Column, whole: Column) -> Column:
