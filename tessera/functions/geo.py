@@ -5,6 +5,8 @@ A cell id is the BIGINT with the bits of the unsigned 64-bit id. Ids of faces 4
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -349,18 +351,89 @@ def interior_covering(lat, lng, angle, max_cells: int = 8, min_level: int = 0, m
     return _coverings(True, max_cells, min_level, max_level)(lat, lng, angle)
 
 
+#: Pairs of points and caps that are tested at a time, and the least side of a cell of the grid in space.
+PAIRS, LEAST_SIDE = 1 << 19, 0.02
+
+
+def _cubes(low: np.ndarray, high: np.ndarray, side: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the cells of a grid in space that touch boxes, and the unit sphere."""
+    first, last = (np.floor(x / side).astype(np.int64) for x in (low, high))
+    found = []
+    for step in np.ndindex(*((last - first).max(0) + 1).tolist() if len(first) else (0, 0, 0)):
+        c = first + step
+        near, far = (np.square(f(np.abs(c * side), np.abs((c + 1) * side))).sum(1) for f in (np.minimum, np.maximum))
+        row = np.flatnonzero((c <= last).all(1) & (near <= 1 + 1e-9) & (far >= 1 - 1e-9))
+        found.append(np.stack([row, _cube(c[row])]))
+    return tuple(np.concatenate(found, 1)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _cube(c: np.ndarray) -> np.ndarray:
+    return (c[:, 0] + (1 << 10) << 22) + (c[:, 1] + (1 << 10) << 11) + c[:, 2] + (1 << 10)
+
+
+def _in_cells(side: float):
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 8192):
+                part = batch.slice(lo, 8192)
+                axes, angle = _axes(part.column(2), part.column(3)), part.column(4).to_numpy(zero_copy_only=False)
+                is_point = np.isnan(angle)
+                for rows in (np.flatnonzero(is_point), np.flatnonzero(~is_point)):
+                    # a cap lies within a chord of its axis
+                    reach = np.where(is_point[rows], 0.0, 2 * np.sin(np.minimum(np.nan_to_num(angle[rows]), np.pi) / 2) + 1e-9)[:, None]
+                    cell = (rows, _cube(np.floor(axes[rows] / side).astype(np.int64))) if len(rows) and is_point[rows[0]] else _cubes(axes[rows] - reach, axes[rows] + reach, side)
+                    taken = rows if len(rows) and is_point[rows[0]] else rows[cell[0]]
+                    if len(taken):
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[1]), *[c.take(pa.array(taken)) for c in part.columns]], ["cell", *part.schema.names])
+
+    return run
+
+
+def _within(lat: np.ndarray, lng: np.ndarray, lat2: np.ndarray, lng2: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """haversine of rows, against an angle."""
+    a, b = np.radians(lat), np.radians(lat2)
+    s, t = np.sin((b - a) / 2), np.sin((np.radians(lng2) - np.radians(lng)) / 2)
+    x = s * s + t * t * np.cos(a) * np.cos(b)
+    return 2 * np.arctan2(np.sqrt(x), np.sqrt(np.maximum(0.0, 1 - x))) <= angle
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(list(batches)).combine_chunks()
+    lat, lng, angle = (rows[k].to_numpy() for k in ("lat", "lng", "angle"))
+    p, c = np.flatnonzero(np.isnan(angle)), np.flatnonzero(~np.isnan(angle))
+    if not len(p) or not len(c):
+        return
+    axes, ids, caps = _axes(rows["lat"], rows["lng"]), rows["id"].combine_chunks(), rows["cap"].combine_chunks()
+    most = np.cos(np.minimum(angle[c], np.pi))
+    wide = min(len(c), 1024)
+    high = PAIRS // wide
+    for x in range(0, len(p), high):
+        for y in range(0, len(c), wide):
+            at = axes[p[x : x + high]] @ axes[c[y : y + wide]].T - most[y : y + wide]
+            i, j = np.nonzero(at >= -1e-14)
+            sure = at[i, j] > 1e-14
+            i, j = p[x + i], c[y + j]
+            ask = np.flatnonzero(~sure)
+            sure[ask] = _within(lat[i[ask]], lng[i[ask]], lat[j[ask]], lng[j[ask]], angle[j[ask]])
+            if sure.any():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[sure])), caps.take(pa.array(j[sure]))], ["id", "cap"])
+
+
 def points_in_caps(points, caps):
-    """points(id, lat, lng) and caps(cap, lat, lng, angle) -> (id, cap), a row for each point in each cap. Coverings meet cells by equality, level by
-    level that is present, and an exact test follows. The cells of a covering don't overlap, so a point meets a cap once. Coverings are made
-    once and kept, since their levels (31 at most) are asked for before the join."""
+    """points(id, lat, lng) and caps(cap, lat, lng, angle) -> (id, cap), a row for each point in each cap. A point lies in one cell of a grid in space, caps go to
+    the cells that they may touch, some dozens at most if their angles are alike. In a cell all pairs are tested in blocks of PAIRS, those at a cap's rim exactly. The
+    cells' side comes from the mean and the largest angle."""
     spark = caps.sparkSession
-    cells = caps.select("cap", F.col("lat").alias("__a"), F.col("lng").alias("__b"), "angle", F.explode(covering("lat", "lng", "angle")).alias("cell")).withColumn("level", level(F.col("cell")))
-    cells = cells.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else cells.persist()
-    present = [r[0] for r in cells.groupBy("level").count().collect()]
-    placed = points.withColumn("leaf", cell_id("lat", "lng"))
-    each = placed.withColumn("cell", F.explode(F.array(*[parent(F.col("leaf"), n) for n in sorted(present)]))) if present else placed.withColumn("cell", F.lit(0).cast("long")).limit(0)
-    met = each.join(cells.drop("level"), "cell")
-    return met.where(haversine(F.col("lat"), F.col("lng"), F.col("__a"), F.col("__b")) <= F.col("angle")).select("id", "cap")
+    caps = caps.where("angle >= 0").dropna(subset=["lat", "lng", "angle"])
+    mean, most = caps.agg(F.avg(F.least("angle", F.lit(np.pi))), F.max(F.least("angle", F.lit(np.pi)))).first()
+    side = max(LEAST_SIDE, (mean or 0.0) / 2, (most or 0.0) / 8)
+    kind, cap = points.schema["id"].dataType.simpleString(), caps.schema["cap"].dataType.simpleString()
+    double = [F.col(k).cast("double").alias(k) for k in ("lat", "lng")]
+    every = points.dropna(subset=["lat", "lng"]).select("id", F.lit(None).cast(cap).alias("cap"), *double, F.lit(float("nan")).alias("angle"))
+    every = every.unionByName(caps.select(F.lit(None).cast(kind).alias("id"), "cap", *double, F.col("angle").cast("double")))
+    dealt = every.mapInArrow(_in_cells(side), f"cell long, id {kind}, cap {cap}, lat double, lng double, angle double")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell")
+    return dealt.groupBy("cell").applyInArrow(_matched, f"id {kind}, cap {cap}")
 
 
 # More of cells
