@@ -293,7 +293,9 @@ def cover_caps(axes: np.ndarray, angles: np.ndarray, max_cells: int = 8, min_lev
         done_who.append(who[keep])
         done.append(cells[keep])
         held += np.bincount(who[keep], minlength=n)
-        who, cells = who[~last], cells[~last]
+        # inside a cap the largest cells count, so one that has max_cells of them needs no smaller ones
+        open_ = ~last & (held[who] < max_cells) if interior else ~last
+        who, cells = who[open_], cells[open_]
         if not len(who) or depth == max_level:
             break
         bit = (cells & -cells) >> 2 & ((1 << 62) - 1)
@@ -588,10 +590,10 @@ def denormalized(cells: pa.Array, min_level: pa.Array, step: pa.Array) -> pa.Arr
 @arrow_udf(ArrayType(LongType()))
 def expanded(cells: pa.Array, at: pa.Array) -> pa.Array:
     """A union with all cells of a level that touch it, its own smaller cells taken up to that level."""
-    out = []
+    out, rows = [], []
     for ids, n in zip(cells.to_pylist(), at.to_pylist()):
         if ids is None:
-            out.append(None)
+            rows.append(None)
             continue
         bit, own = 1 << 2 * (LEVELS - n), set()
         for c in ids:
@@ -599,21 +601,28 @@ def expanded(cells: pa.Array, at: pa.Array) -> pa.Array:
             if u & -u < bit:
                 u = u & -bit | bit
             own.add(u)
-        border = set()
-        for u in own:
-            border |= {x & (1 << 64) - 1 for x in around(u, bit)}
-        out.append(normalize([x - (1 << 64) if x >> 63 else x for x in own | border]))
+        rows.append((own, bit))
+    border = iter(around([(u, bit) for own, bit in filter(None, rows) for u in own]))
+    for row in rows:
+        out.append(None if row is None else normalize([x - (1 << 64) if x >> 63 else x for x in row[0]] + [x for _ in row[0] for x in next(border)]))
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def around(u: int, bit: int) -> list[int]:
-    """Cells with the lowest bit `bit` that share a corner or an edge with a cell from outside."""
-    own, i, j, size = (x[0] for x in face_ij(np.array([u], np.uint64).view(np.int64)))
-    width = 1 << (bit.bit_length() - 1) // 2
-    places = [(i + k, j + m) for k in range(-width, int(size) + width, width) for m in (-width, int(size))] + [(i + m, j + k) for k in range(0, int(size), width) for m in (-width, int(size))]
-    x, y = (np.array(v, np.int64) for v in zip(*places))
-    top = 1 << LEVELS
-    # a place outside the face is looked for one leaf over its edge, as far along it
-    a, b = (np.clip(v + width // 2, -1, top) for v in (x, y))
-    leaf = leaves_over_edges(np.full(len(a), own), a, b)
-    return sorted({int(c) for c in ((leaf & -bit) | bit).tolist()})
+def around(cells: list[tuple[int, int]]) -> list[list[int]]:
+    """For (cell, bit) the cells with the lowest bit `bit` that share a corner or an edge with a cell from outside; those of one size are done together."""
+    out: list[list[int]] = [[]] * len(cells)
+    u, bits = (np.array(x, np.uint64).view(np.int64) for x in zip(*cells)) if cells else (np.zeros(0, np.int64),) * 2
+    own, i, j, size = face_ij(u)
+    for bit, side in set(zip(bits.tolist(), size.tolist())):
+        width = 1 << (bit.bit_length() - 1) // 2
+        places = [(k, m) for k in range(-width, side + width, width) for m in (-width, side)] + [(m, k) for k in range(0, side, width) for m in (-width, side)]
+        x, y = (np.array(v, np.int64) for v in zip(*places))
+        every, top = np.flatnonzero((bits == bit) & (size == side)), 1 << LEVELS
+        for lo in range(0, len(every), max(1, (1 << 16) // len(x))):
+            rows = every[lo : lo + max(1, (1 << 16) // len(x))]
+            # a place outside the face is looked for one leaf over its edge, as far along it
+            a, b = (np.clip(v + width // 2, -1, top).ravel() for v in (i[rows, None] + x, j[rows, None] + y))
+            leaf = leaves_over_edges(np.repeat(own[rows], len(x)), a, b).reshape(len(rows), -1)
+            for row, found in zip(rows.tolist(), ((leaf & -bit) | bit).tolist()):
+                out[row] = sorted(set(found))
+    return out

@@ -143,7 +143,8 @@ def geo_array():
 def coverings_hold(spark, d):
     """A covering holds the cap's centre and points of its rim and has eight cells at most; an interior covering lies in the covering; four cells meet
     at a corner, three at a cube's; an expanded union holds the cells around it."""
-    s = coordinates(read(spark, d, "supplier"), "s_suppkey")
+    # a small table is one split, but coverings take a millisecond a row
+    s = coordinates(read(spark, d, "supplier").select("s_suppkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "s_suppkey")
     s = s.withColumn("cells", geo.covering("lat", "lng", F.lit(0.05))).withColumn("inner", geo.interior_covering("lat", "lng", F.lit(0.05))).withColumn("leaf", geo.cell_id("lat", "lng"))
     s = s.withColumn("north", geo.cell_id(F.least(F.col("lat") + math.degrees(0.0499), F.lit(90.0)), F.col("lng"))).withColumn("own", geo.parent(F.col("leaf"), 8))
     s = s.withColumn("meet", geo.vertex_neighbours("leaf", F.lit(8))).withColumn("near", geo.neighbours("own")).withColumn("more", geo.expanded(F.array("own"), F.lit(8)))

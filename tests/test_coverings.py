@@ -77,3 +77,23 @@ def test_checksums():
         plain = own.to_pylist()
         assert codec.crc32c.func(own).to_pylist() == [None if v is None else slow(v.encode()) for v in plain]
         assert codec.murmur3.func(own).to_pylist() == [None if v is None else codec.murmur3_of(v.encode()) for v in plain]
+
+
+def test_interior_coverings_stop_when_they_are_full(monkeypatch):
+    """A cap that has its largest cells isn't divided any further, and borders of many cells are found together."""
+    axes, angles = caps(300, 4)
+    seen, plain = [], geo.nearest_angle
+    monkeypatch.setattr(geo, "nearest_angle", lambda c, a: seen.append(len(c)) or plain(c, a))
+    found = geo.cover_caps(axes, angles, max_level=20, interior=True)
+    assert sum(map(len, found)) > 1200 and sum(seen) < 300 * 600
+    seen.clear()
+    monkeypatch.setattr(geo, "leaves_over_edges", lambda o, i, j, plain=geo.leaves_over_edges: seen.append(1) or plain(o, i, j))
+    leaves = geo.ids_of_points(*axes.T)
+    bit = 1 << 2 * (geo.LEVELS - 8)
+    own = [[int(x & -bit | bit)] for x in leaves]
+    more = geo.expanded.func(pa.array([*own, None, []]), pa.array([8] * 302)).to_pylist()
+    assert len(seen) == 1 and more[-2:] == [None, []]
+    for (c,), cells in zip(own, more):
+        area = sum((x & -x & (1 << 64) - 1) // bit for x in cells)
+        assert area in (8, 9) and inside(np.array([c], np.int64).view(np.uint64), cells).all()
+        assert all(inside(geo.edge_neighbours(np.array([c], np.int64))[0].view(np.uint64), cells))
