@@ -25,62 +25,81 @@ def steps(line: Column) -> Column:
 
 POINT = StructType().add("x", DoubleType()).add("y", DoubleType()).add("z", DoubleType())
 PLACE = StructType().add("part", DoubleType()).add("distance", DoubleType()).add("right", BooleanType()).add("point", POINT)
-_POINT = pa.struct([(k, pa.float64()) for k in "xyz"])
 
 
-def _array(line) -> np.ndarray:
-    return np.array([(v["x"], v["y"], v["z"]) for v in line], float).reshape(-1, 3)
+def _lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vertices of all lines, where each line's begin, and how many it has; 0 for null."""
+    size = lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _vectors(lines.flatten()), np.cumsum(size) - size, size
+
+
+def _vectors(points: pa.Array) -> np.ndarray:
+    return np.stack([k.cast(pa.float64()).to_numpy(zero_copy_only=False) for k in points.flatten()], 1)
 
 
 def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arctan2(np.linalg.norm(np.cross(a, b), axis=-1), (a * b).sum(-1))
 
 
-def _placed(v: np.ndarray, p: np.ndarray) -> dict:
-    """Where a line is nearest to a point: the first of edges that are as near."""
-    if len(v) < 2:
-        return {"part": 0.0, "distance": float(_between(v[0], p)), "right": None, "point": dict(zip("xyz", v[0].tolist()))}
-    a, b = v[:-1], v[1:]
+def _alike(size: np.ndarray, good: np.ndarray):
+    """(rows, number of vertices): lines of one length, so many at a time that they have some 65,536 vertices."""
+    for n in np.unique(size[good]).tolist():
+        rows = np.flatnonzero(good & (size == n))
+        for lo in range(0, len(rows), max(1, (1 << 16) // n)):
+            yield rows[lo : lo + max(1, (1 << 16) // n)], n
+
+
+def _placed(v: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each of lines (rows, vertices, 3) is nearest to a point: part, distance, whether that is to the right, and the place; the first of edges that are as near."""
+    if v.shape[1] < 2:
+        return np.zeros(len(v)), _between(v[:, 0], p), np.zeros(len(v), bool), v[:, 0]
+    a, b, q = v[:, :-1], v[:, 1:], p[:, None]
     n = np.cross(a, b)
-    long = np.linalg.norm(n, axis=1)
-    flat = p - (n @ p / np.where(long > 0, long**2, 1))[:, None] * n
-    flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
-    foot = (np.cross(n, a) @ p > 0) & (np.cross(b, n) @ p > 0) & (long > 0)
-    ends = np.where((_between(a, p) <= _between(b, p))[:, None], a, b)
-    near = np.where(foot[:, None], flat, ends)
-    k = int(_between(near, p).argmin())
+    long = np.linalg.norm(n, axis=2)
+    flat = q - ((n * q).sum(2) / np.where(long > 0, long**2, 1))[:, :, None] * n
+    flat /= np.maximum(np.linalg.norm(flat, axis=2, keepdims=True), 1e-300)
+    foot = ((np.cross(n, a) * q).sum(2) > 0) & ((np.cross(b, n) * q).sum(2) > 0) & (long > 0)
+    ends = np.where((_between(a, q) <= _between(b, q))[:, :, None], a, b)
+    near = np.where(foot[:, :, None], flat, ends)
+    far = _between(near, q)
+    k, row = far.argmin(1), np.arange(len(v))
     lengths = _between(a, b)
-    whole = lengths.sum()
-    part = (lengths[:k].sum() + _between(a[k], near[k])) / whole if whole > 0 else 0.0
-    return {"part": float(part), "distance": float(_between(near[k], p)), "right": bool(n[k] @ p < 0), "point": dict(zip("xyz", near[k].tolist()))}
+    before, whole = np.cumsum(lengths, 1) - lengths, lengths.sum(1)
+    part = np.where(whole > 0, (before[row, k] + _between(a[row, k], near[row, k])) / np.where(whole > 0, whole, 1.0), 0.0)
+    return part, far[row, k], (n[row, k] * p).sum(1) < 0, near[row, k]
 
 
 @arrow_udf(PLACE)
 def place(line: pa.Array, p: pa.Array) -> pa.Array:
     """The part of a line's length at which it is nearest to a point, how far that is, whether the point lies to the right, and the line's point."""
-    kind = pa.struct([("part", pa.float64()), ("distance", pa.float64()), ("right", pa.bool_()), ("point", _POINT)])
-    return pa.array([None if not v or q is None else _placed(_array(v), _array([q])[0]) for v, q in zip(line.to_pylist(), p.to_pylist())], kind)
+    vertices, start, size = _lines(line)
+    known = (size > 0) & p.is_valid().to_numpy(zero_copy_only=False)
+    q = _vectors(p)
+    part, distance, right, point = np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size), bool), np.zeros((len(size), 3))
+    for rows, n in _alike(size, known):
+        part[rows], distance[rows], right[rows], point[rows] = _placed(vertices[start[rows, None] + np.arange(n)], q[rows])
+    made = [pa.array(part), pa.array(distance), pa.array(right, mask=size < 2), pa.StructArray.from_arrays([pa.array(point[:, k]) for k in range(3)], list("xyz"))]
+    return pa.StructArray.from_arrays(made, ["part", "distance", "right", "point"], mask=pa.array(~known))
 
 
 @arrow_udf(POINT)
 def interpolate(line: pa.Array, part: pa.Array) -> pa.Array:
     """The point at a part of the line's length, which is kept within 0 and 1."""
-    out = []
-    for v, f in zip(line.to_pylist(), part.to_pylist()):
-        if not v or f is None:
-            out.append(None)
-            continue
-        v = _array(v)
-        lengths = _between(v[:-1], v[1:])
-        to, far = min(max(f, 0.0), 1.0) * lengths.sum(), np.concatenate(([0.0], np.cumsum(lengths)))
-        k = min(int(np.searchsorted(far, to, side="right")) - 1, max(len(v) - 2, 0))
-        if len(v) < 2 or lengths[k] == 0:
-            q = v[k]
-        else:
-            t, w = (to - far[k]) / lengths[k], lengths[k]
-            q = (np.sin((1 - t) * w) * v[k] + np.sin(t * w) * v[k + 1]) / np.sin(w)
-        out.append(dict(zip("xyz", q.tolist())))
-    return pa.array(out, _POINT)
+    vertices, start, size = _lines(line)
+    known = (size > 0) & part.is_valid().to_numpy(zero_copy_only=False)
+    f, out = np.clip(part.fill_null(0).to_numpy(zero_copy_only=False).astype(float), 0.0, 1.0), np.zeros((len(size), 3))
+    for rows, n in _alike(size, known):
+        v, row = vertices[start[rows, None] + np.arange(n)], np.arange(len(rows))
+        lengths = _between(v[:, :-1], v[:, 1:])
+        far = np.concatenate((np.zeros((len(v), 1)), np.cumsum(lengths, 1)), 1)
+        to = f[rows] * lengths.sum(1)
+        k = np.minimum((far <= to[:, None]).sum(1) - 1, max(n - 2, 0))
+        a, b, w = v[row, k], v[row, np.minimum(k + 1, n - 1)], lengths[row, k] if n > 1 else np.zeros(len(v))
+        some = np.where(w > 0, w, 1.0)
+        t = ((to - far[row, k]) / some)[:, None]
+        q = (np.sin((1 - t) * some[:, None]) * a + np.sin(t * some[:, None]) * b) / np.sin(some)[:, None]
+        out[rows] = np.where((w > 0)[:, None], q, a)
+    return pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(3)], list("xyz"), mask=pa.array(~known))
 
 
 def uninterpolate(line: Column, p: Column) -> Column:
@@ -106,12 +125,14 @@ def line_distance(line: Column, p: Column) -> Column:
 def nearly_covers(line: pa.Array, other: pa.Array, error: pa.Array) -> pa.Array:
     """Whether every vertex of the other line lies within an angle of the line, in its order along it."""
     out = []
-    for v, w, e in zip(line.to_pylist(), other.to_pylist(), error.to_pylist()):
-        if not v or w is None or e is None:
+    (v, at, n), (w, to, m) = _lines(line), _lines(other)
+    for k, (known, e) in enumerate(zip(other.is_valid().to_pylist(), error.to_pylist())):
+        if not n[k] or not known or e is None:
             out.append(None)
             continue
-        found = [_placed(_array(v), q) for q in _array(w)]
-        out.append(all(x["distance"] <= e for x in found) and all(x["part"] <= y["part"] + 1e-12 for x, y in zip(found, found[1:])))
+        held = [_placed(v[None, at[k] : at[k] + n[k]], q[None]) for q in w[to[k] : to[k] + m[k]]]
+        part, distance = (np.array([x[i][0] for x in held]) for i in (0, 1))
+        out.append(bool((distance <= e).all() and (part[:-1] <= part[1:] + 1e-12).all()))
     return pa.array(out, pa.bool_())
 
 
