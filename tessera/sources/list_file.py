@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.codec import crc32c_of, mask, unmask
 
@@ -283,7 +283,7 @@ class _Written(WriterCommitMessage):
         self.path = path
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Tasks write under hidden names; the commit gives the files of the tasks that count their own."""
 
     def __init__(self, options, overwrite: bool):
@@ -296,7 +296,7 @@ class _Writer(DataSourceWriter):
         store.create_dir(top, recursive=True)
         path = f"{top}/.{self.job}-{uuid.uuid4().hex}.lst"
         with store.open_output_stream(path) as out:
-            for piece in encode((bytes(r[0]) for r in iterator if r[0] is not None), self.meta, self.multiplier, self.compress):
+            for piece in encode((bytes(x) for b in iterator for x in b.column(0).to_pylist() if x is not None), self.meta, self.multiplier, self.compress):
                 out.write(piece)
         return _Written(path)
 
